@@ -1,11 +1,226 @@
-"""Queries of the cell store and the SQL that checks them."""
+"""Queries of the cell store over the test tables, and independent SQL that gives the same rows.
+
+Fixtures as cells: `events` (row = user, column = type, every seventh event a deletion), `orders` (row = customer, column = priority,
+status F a deletion; some full keys repeat), `pages` (row = URL).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codec
+from ..operators import bloom, cells, segments, sharding
+
+AS_OF = 1_705_276_800_000_000  # 2024-01-15
+ORDERS_AT = 915_148_800_000_000  # 1999-01-01
+BOUNDS = ["2", "4", "7"]
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def event_cells(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "events").withColumn("_us", cells.micros("ts"))
+    return cells.to_cells(df, F.col("user_id").cast("string"), F.col("event_type"), F.col("_us"), F.col("value"), F.col("event_id") % 7 == 0, F.col("event_id"))
+
+
+def order_cells(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "orders").withColumn("_us", cells.micros("o_orderdate"))
+    return cells.to_cells(df, F.col("o_custkey").cast("string"), F.col("o_orderpriority"), F.col("_us"), F.col("o_totalprice"), F.col("o_orderstatus") == "F", F.col("o_orderkey"))
+
+
+def page_cells(spark: SparkSession, sf: str) -> DataFrame:
+    df = table(spark, sf, "pages")
+    return cells.to_cells(df, F.col("url"), F.lit("html"), F.lit(0).cast("long"), F.col("html"), F.lit(False), F.col("page_id"))
+
+
+def _scan_range_sharded(s: SparkSession, sf: str) -> DataFrame:
+    by = sharding.RangeSharder(BOUNDS)
+    stored = event_cells(s, sf).withColumn("shard", by.shard_of("row_key", 4))
+    return sharding.scan_range_sharded(stored, by, "3", "5").select("row_key", "column_key", "ts", "value", "shard")
+
+
+def _pages_encoded(s: SparkSession, sf: str) -> DataFrame:
+    return table(s, sf, "pages").withColumns({"family": F.lit(3), "us": F.col("page_id") * 1_000_003})
+
+
+def _bloom(s: SparkSession, sf: str) -> DataFrame:
+    return bloom.build(table(s, sf, "pages").withColumn("segment", F.col("page_id") % 4), "url", ["segment"])
+
+
+def _might_contain(s: SparkSession, sf: str) -> DataFrame:
+    pages = table(s, sf, "pages")
+    asked = pages.select((F.col("page_id") % 4).alias("segment"), F.col("url").alias("key")).union(pages.select((F.col("page_id") % 4).alias("segment"), F.concat("url", F.lit("?absent")).alias("key")))
+    return bloom.might_contain(asked.distinct(), "key", _bloom(s, sf), ["segment"])
+
+
+def _blocks(s: SparkSession, sf: str) -> DataFrame:
+    flushed = segments.assign_segments(cells.last_write_wins(event_cells(s, sf)).filter("entry_type = 'PUT'"))
+    return segments.with_blocks(flushed)
+
+
+def _merged(s: SparkSession, sf: str) -> DataFrame:
+    ops = order_cells(s, sf)
+    return cells.compact_merge(ops.filter("seq % 3 = 0"), ops.filter("seq % 3 = 1"), ops.filter("seq % 3 = 2"))
+
+
+def _merge_fold(s: SparkSession, sf: str) -> DataFrame:
+    ops = event_cells(s, sf).withColumn("entry_type", F.when((F.col("entry_type") == "PUT") & (F.col("seq") % 3 == 0), "MERGE").otherwise(F.col("entry_type")))
+    return cells.fold_merges(ops).select("row_key", "column_key", "ts", F.round("value", 4).alias("value"), "n_merges")
+
+
+def _multi_get(s: SparkSession, sf: str) -> DataFrame:
+    asked = table(s, sf, "events").filter("event_id % 5 = 0").select(F.col("user_id").cast("string").alias("row_key"), F.lit(0).alias("family_id"), F.col("event_type").alias("column_key"), cells.micros("ts").alias("at")).distinct()
+    return cells.multi_get_as_of(event_cells(s, sf), asked).select("row_key", "column_key", "at", "ts", "value")
+
+
+def _format_roundtrip(s: SparkSession, sf: str) -> DataFrame:
+    """Writes a sharded segment with zstd and a native Bloom filter, and reads one key of it."""
+    import tempfile
+    import uuid
+
+    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    path = f"{root}/segment-{uuid.uuid4().hex}"
+    segments.write(event_cells(s, sf), path, 4, sharding.RangeSharder(BOUNDS).shard_of("row_key", 4))
+    return s.read.parquet(path).filter("row_key = '42'").select("row_key", "column_key", "ts", "value", F.col("shard").cast("long").alias("shard"))
+
+
+def _composite_roundtrip(s: SparkSession, sf: str) -> DataFrame:
+    keyed = event_cells(s, sf).select(codec.composite_key("row_key", "family_id", "column_key", "ts").alias("k"))
+    parts = codec.split_composite("k")
+    return keyed.select(*[c.alias(n) for n, c in parts.items()])
+
+
+def _pivot(s: SparkSession, sf: str) -> DataFrame:
+    return cells.pivot_wide(event_cells(s, sf), ["click", "purchase"], AS_OF)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    e, o, p = event_cells, order_cells, page_cells
+    by = sharding.RangeSharder(BOUNDS)
+    brief = ["row_key", "column_key", "ts", "value"]
+    return {
+        "put_lww": lambda s, d: cells.last_write_wins(o(s, d)),
+        "delete_tombstone": lambda s, d: cells.last_write_wins(o(s, d)).filter("entry_type = 'DELETE'").groupBy("row_key", "column_key").agg(F.count("*").alias("n"), F.max("ts").alias("newest")),
+        "wal_replay": lambda s, d: cells.replay(o(s, d).filter("seq % 2 = 0").unionByName(o(s, d).filter("seq % 2 = 1"))),
+        "get_as_of": lambda s, d: cells.get_as_of(e(s, d), AS_OF).select(*brief),
+        "get_latest": lambda s, d: cells.get_as_of(o(s, d)).select(*brief),
+        "get_ceiling": lambda s, d: cells.get_ceiling(o(s, d), ORDERS_AT).select(*brief),
+        "get_point": lambda s, d: cells.get_point(e(s, d), "42", "click", 1_893_456_000_000_000).select(*brief),
+        "get_versions": lambda s, d: cells.get_versions(e(s, d)).select(*brief, "entry_type", "version"),
+        "get_across_segments": lambda s, d: cells.get_as_of(_merged(s, d), ORDERS_AT).select(*brief),
+        "scan_full": lambda s, d: cells.scan_positions(e(s, d)).select("pos", *brief),
+        "scan_range": lambda s, d: cells.scan_range(e(s, d), "2", "5").select(*brief, "entry_type"),
+        "scan_prefix": lambda s, d: cells.scan_prefix(p(s, d), "http://blog.").select("row_key", "column_key", F.length("value").cast("long").alias("chars")),
+        "segment_entries": lambda s, d: segments.entries(e(s, d)),
+        "segment_unique_keys": lambda s, d: segments.unique_keys(e(s, d)),
+        "segment_metadata": lambda s, d: segments.metadata(e(s, d), 4, by.name, by.config),
+        "shard_range": lambda s, d: e(s, d).select("row_key", by.shard_of("row_key", 4).alias("shard")).distinct(),
+        "shard_range_sizes": lambda s, d: e(s, d).groupBy(by.shard_of("row_key", 4).alias("shard")).agg(F.count("*").alias("n")),
+        "shard_mod": lambda s, d: p(s, d).select("row_key", sharding.ModSharder().shard_of("row_key", 8).alias("shard")),
+        "shard_fingerprint": lambda s, d: p(s, d).select("row_key", sharding.FingerprintSharder().shard_of("row_key", 8).alias("shard")),
+        "shard_names": lambda s, d: e(s, d).select(by.shard_of("row_key", 4).alias("shard")).distinct().select("shard", sharding.shard_name("cells", F.col("shard"), 4).alias("name")),
+        "scan_range_sharded": _scan_range_sharded,
+        "flush_segments": lambda s, d: segments.segment_stats(segments.assign_segments(e(s, d).filter("entry_type = 'PUT'"))),
+        "block_index": lambda s, d: segments.block_index(_blocks(s, d)),
+        "shared_prefix": lambda s, d: _blocks(s, d).select("segment", "block", "place", "key", "ts", "shared"),
+        "varint_encode": lambda s, d: table(s, d, "orders").select("o_orderkey", F.hex(codec.varint("o_orderkey * 97")).alias("coded")),
+        "varint_decode": lambda s, d: table(s, d, "orders").select("o_orderkey", codec.varint("o_orderkey * 97").alias("coded")).select("o_orderkey", codec.read_varint("coded").alias("value")),
+        "inverted_ts": lambda s, d: e(s, d).select("seq", codec.inverted_ts(F.col("ts")).alias("inverted")),
+        "composite_key": lambda s, d: _pages_encoded(s, d).withColumn("q", F.lit("html")).select("page_id", F.hex(codec.composite_key("url", "family", "q", "us")).alias("k")),
+        "composite_key_roundtrip": _composite_roundtrip,
+        "crc32c": lambda s, d: table(s, d, "pages").select("page_id", codec.crc32c(F.col("url")).alias("crc")),
+        "poly31_hash": lambda s, d: table(s, d, "pages").select("page_id", codec.poly31("url").alias("h0"), codec.poly31("url", 4).alias("h4")),
+        "bloom_build": _bloom,
+        "bloom_might_contain": _might_contain,
+        "bloom_fpr": lambda s, d: bloom.fill(_bloom(s, d), ["segment"]),
+        "compact_minor": lambda s, d: cells.compact_minor(o(s, d), 7),
+        "compact_merge": _merged,
+        "compact_major": lambda s, d: cells.compact_major(o(s, d)).select(*brief, "seq"),
+        "as_of_after_major": lambda s, d: cells.get_as_of(cells.compact_major(o(s, d))).select(*brief),
+        "format_roundtrip": _format_roundtrip,
+        "pivot_wide": _pivot,
+        "unpivot_cells": lambda s, d: cells.unpivot(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), "k", ["p_size", "p_retailprice"]).select("row_key", "column_key", "value"),
+        "multi_get_as_of": _multi_get,
+        "merge_fold": _merge_fold,
+    }
+
+
+_E = "e AS (SELECT user_id::varchar AS row_key, 0 AS family_id, event_type AS column_key, epoch_us(ts) AS ts, CASE WHEN event_id % 7 = 0 THEN 'DELETE' ELSE 'PUT' END AS entry_type, CASE WHEN event_id % 7 <> 0 THEN value END AS value, event_id AS seq FROM events)"
+_O = "o AS (SELECT o_custkey::varchar AS row_key, 0 AS family_id, o_orderpriority AS column_key, epoch_us(o_orderdate) AS ts, CASE WHEN o_orderstatus = 'F' THEN 'DELETE' ELSE 'PUT' END AS entry_type, CASE WHEN o_orderstatus <> 'F' THEN o_totalprice END AS value, o_orderkey AS seq FROM orders)"
+_SAME = "b.row_key = a.row_key AND b.column_key = a.column_key"
+_LWW = f"w AS (SELECT * FROM o AS a WHERE NOT EXISTS (SELECT 1 FROM o AS b WHERE {_SAME} AND b.ts = a.ts AND b.seq > a.seq))"
+_MAJOR = f"m AS (SELECT * FROM w AS a WHERE entry_type <> 'DELETE' AND NOT EXISTS (SELECT 1 FROM w AS b WHERE {_SAME} AND b.entry_type = 'DELETE' AND b.ts >= a.ts))"
+_CODES = "list_transform(range(1, octet_length(encode({c})) + 1), lambda i: ('0x' || substr(hex(encode({c})), 2 * i - 1, 2))::bigint)"
+_POLY = "list_reduce(list_prepend({seed}::bigint, " + _CODES.replace("{c}", "url") + "), lambda h, b: (h * 31 + b) % 4294967296)"
+
+
+def _newest(of: str, where: str) -> str:
+    return f"SELECT row_key, column_key, ts, value FROM {of} AS a WHERE {where.format(t='a')} AND entry_type <> 'DELETE' AND NOT EXISTS (SELECT 1 FROM {of} AS b WHERE {_SAME} AND {where.format(t='b')} AND (b.ts > a.ts OR (b.ts = a.ts AND b.seq > a.seq)))"
+
+
+def _varint(n: str) -> str:
+    byte = lambda i, more: f"lpad(to_hex((({n}) >> {7 * i} & 127) | {128 if more else 0}), 2, '0')"
+    cases = " ".join(f"WHEN {n} < {1 << 7 * w} THEN {' || '.join(byte(i, i < w - 1) for i in range(w))}" for w in range(1, 5))
+    return f"upper(CASE {cases} ELSE {' || '.join(byte(i, i < 4) for i in range(5))} END)"
+
 
-def queries() -> dict:
-    return {}
+_BITS = f"""h AS (SELECT page_id % 4 AS segment, url, {_POLY.format(seed=0)} AS h1, {_POLY.format(seed=4)} AS h2 FROM pages),
+bits AS (SELECT DISTINCT segment, (h1 + i * h2) % 4294967296 % 1048576 AS bit FROM h, range(4) AS r(i))"""
+_BLOCKS = """s AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 1001 AS segment FROM e WHERE entry_type = 'PUT'),
+k AS (SELECT *, row_key || '/' || column_key AS key, row_number() OVER (PARTITION BY segment ORDER BY row_key, column_key, ts DESC) - 1 AS n FROM s),
+l AS (SELECT k.*, n // 64 AS block, n % 64 AS place, lag(key) OVER (PARTITION BY segment ORDER BY n) AS prev FROM k),
+f AS (SELECT segment, block, place, key, ts, CASE WHEN place % 16 = 0 OR prev IS NULL THEN 0 ELSE
+  list_min(list_filter(range(1, least(length(prev), length(key)) + 2), lambda i: i > least(length(prev), length(key)) OR substr(prev, i, 1) <> substr(key, i, 1))) - 1 END::bigint AS shared FROM l)"""
+_SHARD = "len(list_filter(['2', '4', '7'], lambda b: b <= row_key))::bigint"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    cfg = sharding.RangeSharder(BOUNDS).config.hex()
+    key = f"{_varint('octet_length(encode(url))')} || hex(encode(url)) || {_varint('3')} || {_varint('4')} || hex(encode('html')) || lpad(upper(to_hex(xor(page_id * 1000003, -1)::ubigint)), 16, '0')"
+    key = key.replace("xor(page_id * 1000003, -1)::ubigint", "18446744073709551615::hugeint - page_id * 1000003")
+    return {
+        "put_lww": f"WITH {_O}, {_LWW} SELECT * FROM w",
+        "delete_tombstone": f"WITH {_O}, {_LWW} SELECT row_key, column_key, count(*) AS n, max(ts) AS newest FROM w WHERE entry_type = 'DELETE' GROUP BY ALL",
+        "wal_replay": f"WITH {_O}, {_LWW} SELECT * FROM w",
+        "get_as_of": f"WITH {_E} {_newest('e', '{t}.ts <= ' + str(AS_OF))}",
+        "get_latest": f"WITH {_O} {_newest('o', 'true')}",
+        "get_ceiling": f"WITH {_O}, {_LWW} SELECT row_key, column_key, ts, value FROM w AS a WHERE ts >= {ORDERS_AT} AND entry_type <> 'DELETE' AND NOT EXISTS (SELECT 1 FROM w AS b WHERE {_SAME} AND b.entry_type <> 'DELETE' AND b.ts >= {ORDERS_AT} AND b.ts < a.ts)",
+        "get_point": f"WITH {_E} {_newest('e', '{t}.row_key = ' + chr(39) + '42' + chr(39) + ' AND {t}.column_key = ' + chr(39) + 'click' + chr(39))}",
+        "get_versions": f"WITH {_E} SELECT row_key, column_key, ts, value, entry_type, (SELECT count(*) FROM e AS b WHERE {_SAME} AND b.ts >= a.ts) AS version FROM e AS a",
+        "get_across_segments": f"WITH {_O} {_newest('o', '{t}.ts <= ' + str(ORDERS_AT))}",
+        "scan_full": f"WITH {_E} SELECT row_number() OVER (ORDER BY row_key, column_key, ts DESC) - 1 AS pos, row_key, column_key, ts, value FROM e",
+        "scan_range": f"WITH {_E} SELECT row_key, column_key, ts, value, entry_type FROM e WHERE row_key >= '2' AND row_key < '5'",
+        "scan_prefix": "SELECT url AS row_key, 'html' AS column_key, length(arg_max(html, page_id)) AS chars FROM pages WHERE starts_with(url, 'http://blog.') GROUP BY url",
+        "segment_entries": "SELECT count(*) AS entries FROM events",
+        "segment_unique_keys": "SELECT count(*) AS unique_keys FROM (SELECT DISTINCT user_id, event_type FROM events)",
+        "segment_metadata": f"WITH {_E} SELECT count(*) AS entries, count(DISTINCT (row_key, column_key)) AS unique_keys, count(*) FILTER (entry_type = 'DELETE') AS tombstones, min(row_key) AS min_row, max(row_key) AS max_row, min(ts) AS min_ts, max(ts) AS max_ts, 4::bigint AS shards, 'range:v1' AS sharder, '{cfg}' AS config_hex, '{segments.CREATED_BY}' AS created_by FROM e",
+        "shard_range": f"WITH {_E} SELECT DISTINCT row_key, {_SHARD} AS shard FROM e",
+        "shard_range_sizes": f"WITH {_E} SELECT {_SHARD} AS shard, count(*) AS n FROM e GROUP BY 1",
+        "shard_names": f"WITH {_E} SELECT DISTINCT {_SHARD} AS shard, format('cells-{{:05d}}-of-00004.sst', {_SHARD}) AS name FROM e",
+        "scan_range_sharded": f"WITH {_E} SELECT row_key, column_key, ts, value, {_SHARD} AS shard FROM e WHERE row_key >= '3' AND row_key < '5'",
+        "flush_segments": f"WITH {_E}, s AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 1001 AS segment FROM e WHERE entry_type = 'PUT') SELECT segment, count(*) AS entries, count(DISTINCT (row_key, column_key)) AS unique_keys, 0::bigint AS tombstones, min(row_key) AS min_row, max(row_key) AS max_row, min(ts) AS min_ts, max(ts) AS max_ts FROM s GROUP BY segment",
+        "block_index": f"WITH {_E}, {_BLOCKS} SELECT segment, block, min(key) AS first_key, count(*) AS entries, sum(length(key) - shared)::bigint AS key_chars FROM f GROUP BY segment, block",
+        "shared_prefix": f"WITH {_E}, {_BLOCKS} SELECT * FROM f",
+        "varint_encode": f"SELECT o_orderkey, {_varint('(o_orderkey * 97)')} AS coded FROM orders",
+        "varint_decode": "SELECT o_orderkey, o_orderkey * 97 AS value FROM orders",
+        "inverted_ts": "SELECT event_id AS seq, lpad(upper(to_hex(18446744073709551615::hugeint - epoch_us(ts))), 16, '0') AS inverted FROM events",
+        "composite_key": f"SELECT page_id, {key} AS k FROM pages",
+        "composite_key_roundtrip": f"WITH {_E} SELECT row_key, family_id, column_key, ts FROM e",
+        "poly31_hash": f"SELECT page_id, {_POLY.format(seed=0)} AS h0, {_POLY.format(seed=4)} AS h4 FROM pages",
+        "bloom_build": f"WITH {_BITS} SELECT * FROM bits",
+        "bloom_fpr": f"WITH {_BITS} SELECT segment, count(*) AS bits_set, round(pow(count(*) / 1048576.0::double, 4.0::double), 12) AS rate FROM bits GROUP BY segment",
+        "compact_minor": f"WITH {_O}, {_LWW} SELECT *, 7::bigint AS segment FROM w",
+        "compact_merge": f"WITH {_O}, {_LWW} SELECT * FROM w",
+        "compact_major": f"WITH {_O}, {_LWW}, {_MAJOR} SELECT row_key, column_key, ts, value, seq FROM m",
+        "as_of_after_major": f"WITH {_O} {_newest('o', 'true')}",
+        "format_roundtrip": f"WITH {_E} SELECT row_key, column_key, ts, value, {_SHARD} AS shard FROM e WHERE row_key = '42'",
+        "pivot_wide": f"WITH {_E}, n AS ({_newest('e', '{t}.ts <= ' + str(AS_OF))}) SELECT row_key, max(value) FILTER (column_key = 'click') AS click, max(value) FILTER (column_key = 'purchase') AS purchase FROM n GROUP BY row_key",
+        "unpivot_cells": "SELECT p_partkey::varchar AS row_key, 'p_size' AS column_key, p_size::double AS value FROM part UNION ALL SELECT p_partkey::varchar, 'p_retailprice', p_retailprice FROM part",
+        "multi_get_as_of": f"WITH {_E}, q AS (SELECT DISTINCT row_key, column_key, ts AS t FROM e WHERE seq % 5 = 0) SELECT q.row_key, q.column_key, q.t AS "at", a.ts, a.value FROM q JOIN e AS a ON a.row_key = q.row_key AND a.column_key = q.column_key AND a.ts <= q.t WHERE a.entry_type <> 'DELETE' AND NOT EXISTS (SELECT 1 FROM e AS b WHERE {_SAME} AND b.ts <= q.t AND b.ts > a.ts)",
+        "merge_fold": f"WITH {_E}, x AS (SELECT *, CASE WHEN entry_type = 'PUT' AND seq % 3 = 0 THEN 'MERGE' ELSE entry_type END AS kind FROM e), y AS (SELECT a.*, (SELECT max(ts) FROM x AS b WHERE {_SAME} AND b.kind <> 'MERGE') AS base FROM x AS a) SELECT row_key, column_key, max(ts) AS ts, round(sum(coalesce(value, 0)), 4) AS value, count(*) FILTER (kind = 'MERGE') AS n_merges FROM y WHERE base IS NULL OR ts >= base GROUP BY row_key, column_key",
+    }
