@@ -221,6 +221,6 @@ def oracle_sql() -> dict[str, str]:
         "format_roundtrip": f"WITH {_E} SELECT row_key, column_key, ts, value, {_SHARD} AS shard FROM e WHERE row_key = '42'",
         "pivot_wide": f"WITH {_E}, n AS ({_newest('e', '{t}.ts <= ' + str(AS_OF))}) SELECT row_key, max(value) FILTER (column_key = 'click') AS click, max(value) FILTER (column_key = 'purchase') AS purchase FROM n GROUP BY row_key",
         "unpivot_cells": "SELECT p_partkey::varchar AS row_key, 'p_size' AS column_key, p_size::double AS value FROM part UNION ALL SELECT p_partkey::varchar, 'p_retailprice', p_retailprice FROM part",
-        "multi_get_as_of": f"WITH {_E}, q AS (SELECT DISTINCT row_key, column_key, ts AS t FROM e WHERE seq % 5 = 0) SELECT q.row_key, q.column_key, q.t AS "at", a.ts, a.value FROM q JOIN e AS a ON a.row_key = q.row_key AND a.column_key = q.column_key AND a.ts <= q.t WHERE a.entry_type <> 'DELETE' AND NOT EXISTS (SELECT 1 FROM e AS b WHERE {_SAME} AND b.ts <= q.t AND b.ts > a.ts)",
+        "multi_get_as_of": f"WITH {_E}, q AS (SELECT DISTINCT row_key, column_key, ts AS t FROM e WHERE seq % 5 = 0) SELECT q.row_key, q.column_key, q.t AS \"at\", a.ts, a.value FROM q JOIN e AS a ON a.row_key = q.row_key AND a.column_key = q.column_key AND a.ts <= q.t WHERE a.entry_type <> 'DELETE' AND NOT EXISTS (SELECT 1 FROM e AS b WHERE {_SAME} AND b.ts <= q.t AND b.ts > a.ts)",
         "merge_fold": f"WITH {_E}, x AS (SELECT *, CASE WHEN entry_type = 'PUT' AND seq % 3 = 0 THEN 'MERGE' ELSE entry_type END AS kind FROM e), y AS (SELECT a.*, (SELECT max(ts) FROM x AS b WHERE {_SAME} AND b.kind <> 'MERGE') AS base FROM x AS a) SELECT row_key, column_key, max(ts) AS ts, round(sum(coalesce(value, 0)), 4) AS value, count(*) FILTER (kind = 'MERGE') AS n_merges FROM y WHERE base IS NULL OR ts >= base GROUP BY row_key, column_key",
     }
