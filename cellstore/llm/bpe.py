@@ -8,7 +8,7 @@ cut into lanes; each lane's transition function is found for all states at once,
 associative scan, and a second pass with known entry states gives the state at each code point. Boundaries follow from
 state, class and the next two classes.
 
-Each distinct piece is merged once per worker (pairs of lowest rank first) and cached; the cache is emptied when it is full.
+Each distinct piece is merged once per task (pairs of lowest rank first) and cached; the cache is emptied when it is full and at a task's end.
 Ids keep the code-point offset at which their piece starts, so that decoded spans can be told. Ranks come from a file whose path is
 a parameter; each worker reads it once.
 
@@ -305,6 +305,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
             ids, offsets, ends = encode_texts([x or "" for x in batch.column("text").to_pylist()], merge)
             bounds = pa.array(np.r_[0, ends].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (ids, offsets)]], ["id", "ids", "offsets"])
+        merge.clear()  # a worker goes on to other stages
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
