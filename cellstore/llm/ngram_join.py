@@ -10,9 +10,9 @@ whole sequence if there are fewer words; nothing without words), as 64-bit hashe
 2. Each document gives its size, a digest of its whole set, and its prefix: the first size - ceil(percent% of size) + 1
    shingles of its set. Linked documents share a shingle of their prefixes.
 3. Identical sets are collapsed into one member, and members with identical prefix and size into one group. Only groups meet.
-4. Postings (shingle, group, size, place in the prefix) are dealt by shingle. A place is of use only if what is left of the set after
-   it can reach the overlap needed. Within a shingle, every group is paired with one pivot (the least), never all with all.
-   Candidate pairs expand to members: each member of a group is checked against one member of the other, and within its group.
+4. Postings (shingle, group, size, place in the prefix) are dealt by shingle. Within a shingle, every group is paired with one
+   pivot (the least), never all with all; pairs of groups are filtered by size and by how many shingles their prefixes share.
+   Pairs expand to members: each member of a group is checked against one member of the other, and within its group.
 5. Pairs are verified on whole sets, which are made again from the texts of candidate documents. Links give classes, by
    min-label propagation with contraction.
 6. Exactness beyond the pivot: shingles whose members are still in more than one class are looked at again. For a few rounds members outside
@@ -63,6 +63,19 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-size * percent // 100) + 1 if size else 0
 
 
+def enough(size_a, size_b, shared, percent: int):
+    """Can sets of these sizes link if their prefixes share so many shingles?
+
+    Say a's prefix ends first in the order. What both sets share up to there is in both prefixes; beyond it a has no more than its size less
+    its prefix. So the overlap is at most the shared shingles and that rest; the greater rest of the two is allowed for.
+    """
+
+    def rest(size):
+        return size - (size - F.ceil(size * percent / 100) + 1)
+
+    return (shared + F.greatest(rest(size_a), rest(size_b))) * (100 + percent) >= percent * (size_a + size_b)
+
+
 def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
     """Document counts of shingles by their hash's low bits; 2^20 counters, summed over partitions in slices."""
     slices = 64
@@ -204,10 +217,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     first = grouped.select(F.col("gid").alias("id"), "n_members")
     prefixes = feats.select("id", "size", "prefix").join(first, "id").dropDuplicates(["id"]).withColumnRenamed("id", "gid")
 
-    # places of use: what is left from the place on must reach the overlap with a set of the least size allowed
-    left, least = F.col("size") - F.col("place"), F.ceil(F.col("size") * percent / 100)
-    useful = left * (100 + percent) >= percent * (F.col("size") + least)
-    posts = posting_rows(prefixes, percent).filter(useful)
+    posts = posting_rows(prefixes, percent)
     # the pivot of a shingle is its least group; a shingle of one group is of no use
     over = Window.partitionBy("token")
     pivoted = posts.withColumns({"_n": F.count("*").over(over), "_pivot": F.min("gid").over(over)}).filter("_n > 1")
@@ -219,12 +229,13 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     size_of = grouped.select(F.col("gid").alias("pivot"), F.col("size").alias("p_size"))
     fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
-    pairs = posts.filter("gid <> pivot").select(F.col("pivot").alias("a"), F.col("gid").alias("b"), "size").distinct()
-    pairs = pairs.join(size_of.withColumnRenamed("pivot", "a"), "a").filter(fits(F.col("size"), F.col("p_size"))).select("a", "b")
+    pairs = posts.filter("gid <> pivot").groupBy(F.col("pivot").alias("a"), F.col("gid").alias("b"), "size").agg(F.count("*").alias("shared"))
+    pairs = pairs.join(size_of.withColumnRenamed("pivot", "a"), "a").filter(fits(F.col("size"), F.col("p_size")) & enough(F.col("size"), F.col("p_size"), F.col("shared"), percent)).select("a", "b")
     more = inside.filter("gid <> member").select(F.col("gid").alias("a"), F.col("member").alias("b"))
     pairs = tables.write(pairs.union(more), "pairs-1")
 
-    tested, links, k = None, None, 0
+    expanded = posts.select("token", "gid", "size", "place").join(inside, "gid", "left").select("token", F.coalesce("member", "gid").alias("m"), "size", "place")
+    tested, links, k, step = None, None, 0, 0
     while True:
         k += 1
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -240,14 +251,17 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
             roots = spark.createDataFrame([], "v long, root long")
         else:
             roots = components(links, tables, f"classes-{k}")
-        if not n_wanted:
+        if k > PIVOT_ROUNDS and not n_wanted:
             break
-        if k <= PIVOT_ROUNDS:
-            pairs = tables.write(_open_pairs(posts, inside, roots, tested, percent, k), f"pairs-{k + 1}")
-            if not pairs.isEmpty():
-                continue
-            k = PIVOT_ROUNDS
-        pairs = tables.write(_open_pairs(posts, inside, roots, tested, percent, 0), f"pairs-all-{k + 1}")
+        if tested is None:
+            tested = spark.createDataFrame([], "a long, b long, linked boolean")
+        while True:  # the next round that has pairs
+            step += 1
+            expanded = tables.write(_open(expanded, roots), f"open-{step}")
+            pairs = tables.write(_open_pairs(expanded, tested, percent, k if k <= PIVOT_ROUNDS else 0), f"pairs-{step + 1}")
+            if k > PIVOT_ROUNDS or not pairs.isEmpty():
+                break
+            k = PIVOT_ROUNDS + 1
         if pairs.isEmpty():
             break
 
@@ -264,34 +278,41 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     return out.select("id", "size", F.when(alone, F.col("id")).otherwise(F.coalesce("component", "id")).alias("component"), F.when(alone, F.col("id")).otherwise(F.coalesce("member", "id")).alias("member"))
 
 
-def _open_pairs(posts: DataFrame, inside: DataFrame, roots: DataFrame, tested: DataFrame, percent: int, pivots: int) -> DataFrame:
+def _open(expanded: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (token, m, size, place) of shingles whose members are in several classes, with class and the shingle's largest class."""
+    classed = expanded.select("token", "m", "size", "place").join(roots.select(F.col("v").alias("m"), "root"), "m", "left").withColumn("root", F.coalesce("root", "m"))
+    over = Window.partitionBy("token")
+    counted = classed.withColumn("_in", F.count("*").over(Window.partitionBy("token", "root")))
+    largest = F.max(F.struct("_in", "root")).over(over)
+    return counted.withColumns({"top": largest["root"], "_all": F.count("*").over(over)}).filter("_all > _in").drop("_all", "_in")
+
+
+def _open_pairs(open_: DataFrame, tested: DataFrame, percent: int, pivots: int) -> DataFrame:
     """Pairs not yet tested of members that share a shingle of their prefixes (a group shares all of its) but no class.
 
     Under each shingle with several classes, members of all classes but the largest meet members of other classes. With
-    pivots > 0, each meets one member of the largest class only, another in each round; with 0, all that pass the tests of size
-    and place, so nothing is left untested.
+    pivots > 0, each meets one member of the largest class only, another in each round; with 0, all that pass the tests of size,
+    place and shared shingles, so nothing is left untested.
     """
-    expanded = posts.select("token", "gid", "size", "place").join(inside, "gid", "left").select("token", F.coalesce("member", "gid").alias("m"), "size", "place")
-    classed = expanded.join(roots.select(F.col("v").alias("m"), "root"), "m", "left").withColumn("root", F.coalesce("root", "m"))
-    over = Window.partitionBy("token")
-    counted = classed.withColumn("_in", F.count("*").over(Window.partitionBy("token", "root")))
-    largest = F.max(F.struct("_in", "root")).over(over)
-    open_ = counted.withColumns({"_top": largest["root"], "_all": F.count("*").over(over)}).filter("_all > _in OR _top <> root")
-    few = F.col("_top") != F.col("root")
+    few = F.col("top") != F.col("root")
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if pivots:
-        pivot = F.min(F.when(~few, F.struct(F.xxhash64(F.lit(pivots), "m").alias("h"), F.col("m").alias("m"), F.col("size").alias("s")))).over(over)
+        pivot = F.min(F.when(~few, F.struct(F.xxhash64(F.lit(pivots), "m").alias("h"), F.col("m").alias("m"), F.col("size").alias("s")))).over(Window.partitionBy("token"))
         met = open_.withColumn("_p", pivot).filter(few & (F.least("size", F.col("_p.s")) * 100 >= percent * F.greatest("size", F.col("_p.s"))))
-        met = met.select(F.least("m", F.col("_p.m")).alias("a"), F.greatest("m", F.col("_p.m")).alias("b")).distinct()
-        return met.join(done, ["a", "b"], "left_anti")
-    a = open_.filter(few).select("token", F.col("m").alias("ma"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("place").alias("pa"))
+        met = met.groupBy(F.least("m", F.col("_p.m")).alias("a"), F.greatest("m", F.col("_p.m")).alias("b")).agg(F.count("*").alias("shared"), F.max("size").alias("sa"), F.max("_p.s").alias("sb"))
+        return met.filter(enough(F.col("sa"), F.col("sb"), F.col("shared"), percent)).select("a", "b").join(done, ["a", "b"], "left_anti")
+    a = open_.filter(few).select("token", F.col("m").alias("ma"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("place").alias("pa"), "top")
     b = open_.select("token", F.col("m").alias("mb"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
     size_ok = (F.col("sa") * 100 >= percent * F.col("sb")) & (F.col("sb") * 100 >= percent * F.col("sa"))
+    # two members outside the largest class meet once, from the lesser one
+    once = (F.col("rb") == F.col("top")) | (F.col("ma") < F.col("mb"))
+    met = a.join(b, "token").filter((F.col("ra") != F.col("rb")) & size_ok & once)
+    swap = F.col("ma") > F.col("mb")
+    both = met.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"), *[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(n) for n, x, y in (("sa", "sa", "sb"), ("sb", "sb", "sa"), ("pa", "pa", "pb"), ("pb", "pb", "pa"))])
+    both = both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
     # from the first shingle that both prefixes share, what is left of either must reach the overlap
     place_ok = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) * (100 + percent) >= percent * (F.col("sa") + F.col("sb"))
-    met = a.join(b, "token").filter((F.col("ra") != F.col("rb")) & size_ok & place_ok)
-    met = met.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct()
-    return met.join(done, ["a", "b"], "left_anti")
+    return both.filter(place_ok & enough(F.col("sa"), F.col("sb"), F.col("shared"), percent)).select("a", "b").join(done, ["a", "b"], "left_anti")
 
 
 def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
