@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .base import Tables, mix, pieces, utf8, with_column_free, words
 from .toxicity import fold
 
-BLOCK_TOKENS = 4_000_000
-PART_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
+PART_TOKENS = 1_000_000
 DISCOUNTED = 5
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -222,8 +222,8 @@ def ask_pairs(blocks: DataFrame, answers: DataFrame, parts: int, pair_parts: int
 
 
 def answer_pairs(table: pa.Table, factor: np.ndarray, train_tokens: int) -> pa.Table:
-    """Counts for each block, and in `keys`, for each history that a block asked about here: followers counted 1 to 5 times, the total of greater
-    counts, and the unigram probability of all followers."""
+    """Counts for each block, and for each history that a block asked about here, in the order in which it asked: followers counted 1 to 5 times
+    and the total of greater counts (in `keys`), and the unigram probability of all followers (in `sums`)."""
     rows = table.to_pylist()
     left, right, counts, known = [], [], [], []
     for r in rows:
@@ -248,8 +248,8 @@ def answer_pairs(table: pa.Table, factor: np.ndarray, train_tokens: int) -> pa.T
     stats[:, DISCOUNTED + 1] = np.bincount(place, np.where(seen, discounted(c2, factor) / train_tokens, 0), len(heads))
     told, k, out = total[at], 0, []
     for r in rows:
-        h = np.frombuffer(r["more"], np.uint64, len(r["more"]) // 12)
-        out.append((r["part"], r["block"], r["n"], h.tobytes() + stats[np.searchsorted(heads, h)].tobytes(), pack(told[k : k + r["n"]]), b""))
+        own = stats[np.searchsorted(heads, np.frombuffer(r["more"], np.uint64, len(r["more"]) // 12))].T
+        out.append((r["part"], r["block"], r["n"], pack(own[:-1].astype(np.int64)), pack(told[k : k + r["n"]]), pack(own[-1])))
         k += r["n"]
     sums = np.r_[0, 0, [(total == r).sum() for r in range(1, DISCOUNTED + 2)]].astype(np.int64)
     out.append((rows[0]["part"], -2, 0, heads.tobytes() + stats.tobytes(), b"", sums.tobytes()))
@@ -302,7 +302,8 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         at = np.minimum(np.searchsorted(h, hot), max(n - 1, 0))
         if n:
             hot_stats += np.where((h[at] == hot)[:, None], s[at], 0)
-    both = answers.select("block", "part", "n", "counts", F.lit(None).cast("binary").alias("keys")).union(pair_table.filter("block >= 0").select("block", "part", "n", "counts", "keys"))
+    none = F.lit(None).cast("binary")
+    both = answers.select("block", "part", "n", "counts", none.alias("keys"), none.alias("sums")).union(pair_table.filter("block >= 0").select("block", "part", "n", "counts", "keys", "sums"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row, told = left.to_pylist()[0], right.to_pylist()
@@ -311,12 +312,11 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         a, b, _, order, ends, which, lengths, train = block_pairs(row, keys, hot, parts)
         counts = _block_counts(row, told, parts, order, ends)
         stats = np.zeros((len(keys) + 1, DISCOUNTED + 2))
-        place = np.argsort(keys, kind="stable")
         for t in told:
-            n = len(t["keys"]) // (8 * (DISCOUNTED + 3))
-            h, s = np.frombuffer(t["keys"], np.uint64, n), np.frombuffer(t["keys"], np.float64, offset=8 * n).reshape(n, -1)
-            at = place[np.minimum(np.searchsorted(keys[place], h), len(keys) - 1)]
-            stats[np.where(h == 0, len(keys), at)] = s
+            own = a[order[ends[t["part"]] : ends[t["part"] + 1]]]
+            own = own[np.r_[True, own[1:] != own[:-1]]]
+            stats[own, :-1] = unpack(t["keys"], np.int64, (DISCOUNTED + 1) * len(own)).reshape(-1, len(own)).T
+            stats[own, -1] = unpack(t["sums"], np.float64, len(own))
         at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
         for i in np.flatnonzero(hot[at] == keys) if len(hot) else ():
             stats[i] = hot_stats[at[i]]
