@@ -7,9 +7,10 @@ over the training vocabulary, the end and one class for all unknown words, which
 
 Nothing moves word by word. Each task packs its documents into blocks: distinct word hashes, and the text as indexes into them.
 1. A block asks the partition of each of its words for the word's count in training text, once, and brings its own counts along.
-   Partitions (by hash range) hold the unigram table.
-2. A block asks in the same way for its distinct bigrams, dealt by the history's hash, or by the bigram's if the history stands for over a
-   thousandth of all tokens (fewer than 1000 such histories). A partition adds counts up and, for each history, what its backoff weight needs.
+   Partitions (by hash range) hold the unigram table. They number training words, frequent ones first; the answer carries the number.
+2. A block asks in the same way for its distinct bigrams of training words, as sorted differences of numbers, dealt by the history's number,
+   or by the bigram's if the history stands for over a thousandth of all tokens (fewer than 1000 such histories). A partition adds counts up
+   and, for each history, what its backoff weight needs. A bigram with a word that training text lacks has no count and isn't asked for.
 3. Blocks meet their answers, and every token is evaluated: discounted bigram, or backoff weight times unigram.
 So a frequent bigram is sent once a block, not once an occurrence. Words are 64-bit hashes. Tables and answers are written to the shared
 folder, by partition.
@@ -34,15 +35,43 @@ BLOCK_TOKENS = 1_500_000
 PART_TOKENS = 1_000_000
 DISCOUNTED = 5
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
+#: The number of what stands before a text; words of training text have greater numbers, other words 0.
+START = np.uint64(1)
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 def pack(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x).tobytes(), "zstd", asbytes=True)
+    """Byte by byte of the numbers, so that leading zeros and like bytes come together."""
+    planes = np.ascontiguousarray(x).reshape(-1).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def unpack(data: bytes, kind, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+    if not n:
+        return np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def pack_runs(head: np.ndarray, then: np.ndarray) -> tuple[bytes, bytes]:
+    """Pairs sorted by head, then: (heads and how many pairs each has, the rest), as differences."""
+    first = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
+    step = then.copy()
+    step[1:] -= then[:-1]
+    step[first] = then[first]
+    return len(first).to_bytes(8, "little") + pack(np.r_[np.diff(head[first], prepend=np.uint64(0)), np.diff(np.r_[first, len(head)]).astype(np.uint64)]), pack(step)
+
+
+def unpack_runs(heads: bytes, rest: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(each head once, head of each pair, the rest)."""
+    k = int.from_bytes(heads[:8], "little")
+    both = unpack(heads[8:], np.uint64, 2 * k)
+    once, sizes = np.cumsum(both[:k], dtype=np.uint64), both[k:].astype(np.int64)
+    step = unpack(rest, np.uint64, n)
+    run = np.cumsum(step, dtype=np.uint64)
+    first = np.cumsum(sizes) - sizes
+    return once, np.repeat(once, sizes), run - np.repeat(run[first] - step[first], sizes)
 
 
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,28 +146,36 @@ def _rows(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(columns, named, strict=True)], [n for n, _ in named])
 
 
-#: block -1: the table itself (keys, counts); block -2: sums (tokens, distinct, counts of counts)
+#: block -1: the table itself (keys by number, counts); block -2: sums (tokens, distinct, counts of counts), for bigrams with the histories' statistics
 _TABLE = "part long, block long, n long, keys binary, counts binary, sums binary"
 
 
-def answer_words(table: pa.Table) -> pa.Table:
+def answer_words(table: pa.Table, parts: int) -> pa.Table:
     rows = table.to_pylist()
     keys = [np.frombuffer(r["keys"], np.uint64) for r in rows]
     counts = np.concatenate([unpack(r["counts"], np.uint32, r["n"]) for r in rows]).astype(np.int64)
     uniq, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.zeros(len(uniq), np.int64)
     np.add.at(total, at, counts)
-    told, k, out = total[at], 0, []
+    seen, part = total > 0, rows[0]["part"]
+    order = np.argsort(-total, kind="stable")[: int(seen.sum())]
+    ids = np.zeros(len(uniq), np.uint64)
+    ids[order] = numbers(len(order), part, parts)
+    told, named, k, out = total[at], ids[at], 0, []
     for r in rows:
-        out.append((r["part"], r["block"], r["n"], b"", pack(told[k : k + r["n"]]), b""))
+        out.append((part, r["block"], r["n"], pack(named[k : k + r["n"]]), pack(told[k : k + r["n"]]), b""))
         k += r["n"]
-    seen = total > 0
-    out.append((rows[0]["part"], -1, int(seen.sum()), uniq[seen].tobytes(), pack(total[seen]), b""))
+    out.append((part, -1, len(order), uniq[order].tobytes(), pack(total[order]), b""))
     sums = np.r_[total.sum(), seen.sum(), [(total == r).sum() for r in range(1, DISCOUNTED + 2)]].astype(np.int64)
-    out.append((rows[0]["part"], -2, 0, b"", b"", sums.tobytes()))
+    out.append((part, -2, 0, b"", b"", sums.tobytes()))
     return pa.Table.from_batches([_rows(_TABLE, out)])
 
 
+def numbers(n: int, part: int, parts: int) -> np.ndarray:
+    """Of a partition's n training words: unique over all partitions."""
+    return np.arange(n, dtype=np.uint64) * np.uint64(parts) + np.uint64(part + 2)
+
+
 def discounts(of: np.ndarray) -> np.ndarray:
     """Factor by count 0..5 (of[r - 1] counts occur r times); 1 from 6 on isn't listed."""
     k, out = DISCOUNTED, np.ones(DISCOUNTED + 1)
@@ -154,24 +191,15 @@ def discounted(count: np.ndarray, factor: np.ndarray) -> np.ndarray:
     return count * np.where(count <= DISCOUNTED, factor[np.minimum(count, DISCOUNTED)], 1.0)
 
 
-def _block_counts(row: dict, answers: list[dict], parts: int, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A block's answers in the order in which it asked (by part)."""
-    out = np.zeros(len(order), np.int64)
-    for a in answers:
-        p = a["part"]
-        out[order[ends[p] : ends[p + 1]]] = unpack(a["counts"], np.int64, a["n"])
-    return out
-
-
-def block_words(row: dict, answers: list[dict], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.frombuffer(row["words"], np.uint64)
-    ends = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-    return keys, _block_counts(row, answers, parts, np.arange(len(keys)), ends)
+def block_words(answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, numbers) of a block's words, in its own order: words are sorted by hash, and so are partitions."""
+    answers = sorted(answers, key=lambda a: a["part"])
+    return np.concatenate([unpack(a["counts"], np.int64, a["n"]) for a in answers]), np.concatenate([unpack(a["keys"], np.uint64, a["n"]) for a in answers])
 
 
-def block_pairs(row: dict, keys: np.ndarray, hot: np.ndarray, parts: int):
-    """Distinct bigrams of a block: (history index, -1 at a start; word index; count in training; their order by part; ends of parts; each token's bigram)."""
-    n_words = len(keys)
+def block_pairs(row: dict, names: np.ndarray, hot: np.ndarray, parts: int):
+    """Distinct bigrams of a block (history index, the last at a start; word index; count in training), those to ask for, by part, history, word; ends of parts; each token's bigram; lengths."""
+    n_words = row["n_words"]
     tokens = unpack(row["tokens"], np.uint32, row["n_tokens"]).astype(np.int64)
     lengths = unpack(row["lengths"], np.int64, row["n_docs"])
     train = unpack(row["train"], bool, row["n_docs"])
@@ -181,18 +209,13 @@ def block_pairs(row: dict, keys: np.ndarray, hot: np.ndarray, parts: int):
     uniq, which = np.unique(before * (n_words + 1) + tokens, return_inverse=True)
     counts = np.bincount(which[np.repeat(train, lengths)], minlength=len(uniq))
     left, right = uniq // (n_words + 1), uniq % (n_words + 1)
-    names = np.r_[keys, np.uint64(0)]
-    h = names[left]
+    asked = np.flatnonzero((names[left] > 0) & (names[right] > 0))
+    h, w = names[left[asked]], names[right[asked]]
     at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
     is_hot = (hot[at] == h) if len(hot) else np.zeros(len(h), bool)
-    dealt = np.where(is_hot, pair_key(h, names[right]), mix(h))
-    part = part_of(dealt, parts)
-    order = np.argsort(part, kind="stable")
-    ends = np.searchsorted(part[order], np.arange(parts + 1))
-    return left, right, counts, order, ends, which, lengths, train
-
-
-_MEET = "block long"
+    part = part_of(np.where(is_hot, pair_key(h, w), mix(h)), parts)
+    order = np.lexsort((w, h, part))
+    return left, right, counts, asked[order], np.searchsorted(part[order], np.arange(parts + 1)), which, lengths
 
 
 def meet(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
@@ -200,40 +223,38 @@ def meet(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
-def ask_pairs(blocks: DataFrame, answers: DataFrame, parts: int, pair_parts: int, hot: np.ndarray) -> DataFrame:
+def ask_pairs(blocks: DataFrame, answers: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows:
             row = left.to_pylist()[0]
-            keys, known = block_words(row, right.to_pylist(), parts)
-            a, b, counts, order, ends, *_ = block_pairs(row, keys, hot, pair_parts)
-            names, known = np.r_[keys, np.uint64(0)], np.r_[known, 0]
-            for p in range(pair_parts):
+            known, names = block_words(right.to_pylist())
+            names = np.r_[names, START]
+            a, b, counts, order, ends, *_ = block_pairs(row, names, hot, parts)
+            for p in range(parts):
                 own = order[ends[p] : ends[p + 1]]
                 if len(own):
-                    x = a[own]
-                    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-                    heads = names[x[first]].tobytes() + np.diff(np.r_[first, len(x)]).astype(np.uint32).tobytes()
+                    heads, rest = pack_runs(names[a[own]], names[b[own]])
                     c = counts[own]
-                    out.append((p, row["block"], len(own), names[b[own]].tobytes(), heads, pack(np.r_[c, np.where(c > 0, known[b[own]], 0)].astype(np.uint32))))
+                    out.append((p, row["block"], len(own), rest, heads, pack(np.r_[c, np.where(c > 0, known[b[own]], 0)].astype(np.uint64))))
         return pa.Table.from_batches([_rows(_ASK, out)])
 
-    return meet(blocks.drop("ids"), answers, run, _ASK)
+    return meet(blocks, answers, run, _ASK)
 
 
 def answer_pairs(table: pa.Table, factor: np.ndarray, train_tokens: int) -> pa.Table:
     """Counts for each block, and for each history that a block asked about here, in the order in which it asked: followers counted 1 to 5 times
     and the total of greater counts (in `keys`), and the unigram probability of all followers (in `sums`)."""
-    rows = table.to_pylist()
-    left, right, counts, known = [], [], [], []
+    rows = table.select(["part", "block", "n", "keys", "more", "counts"]).to_pylist()
+    once, left, right, counts, known = [], [], [], [], []
     for r in rows:
-        heads = len(r["more"]) // 12
-        h = np.frombuffer(r["more"], np.uint64, heads)
-        left.append(np.repeat(h, np.frombuffer(r["more"], np.uint32, heads, 8 * heads)))
-        right.append(np.frombuffer(r["keys"], np.uint64))
-        both = unpack(r["counts"], np.uint32, 2 * r["n"])
-        counts.append(both[: r["n"]].astype(np.int64))
-        known.append(both[r["n"] :].astype(np.int64))
+        own, h, w = unpack_runs(r["more"], r["keys"], r["n"])
+        once.append(own)
+        left.append(h)
+        right.append(w)
+        both = unpack(r["counts"], np.uint64, 2 * r["n"]).astype(np.int64)
+        counts.append(both[: r["n"]])
+        known.append(both[r["n"] :])
     left, right, counts, known = map(np.concatenate, (left, right, counts, known))
     uniq, one, at = np.unique(pair_key(left, right), return_index=True, return_inverse=True)
     total, c2 = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64)
@@ -247,12 +268,12 @@ def answer_pairs(table: pa.Table, factor: np.ndarray, train_tokens: int) -> pa.T
     stats[:, DISCOUNTED] = np.bincount(place, np.where(total > DISCOUNTED, total, 0), len(heads))
     stats[:, DISCOUNTED + 1] = np.bincount(place, np.where(seen, discounted(c2, factor) / train_tokens, 0), len(heads))
     told, k, out = total[at], 0, []
-    for r in rows:
-        own = stats[np.searchsorted(heads, np.frombuffer(r["more"], np.uint64, len(r["more"]) // 12))].T
+    for r, asked in zip(rows, once, strict=True):
+        own = stats[np.searchsorted(heads, asked)].T
         out.append((r["part"], r["block"], r["n"], pack(own[:-1].astype(np.int64)), pack(told[k : k + r["n"]]), pack(own[-1])))
         k += r["n"]
     sums = np.r_[0, 0, [(total == r).sum() for r in range(1, DISCOUNTED + 2)]].astype(np.int64)
-    out.append((rows[0]["part"], -2, 0, heads.tobytes() + stats.tobytes(), b"", sums.tobytes()))
+    out.append((rows[0]["part"], -2, len(heads), pack(heads), pack(stats), sums.tobytes()))
     return pa.Table.from_batches([_rows(_TABLE, out)])
 
 
@@ -284,44 +305,41 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     blocks = tables.write(make_blocks(rows), "blocks")
     n_tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     parts = max(1, -(-n_tokens // PART_TOKENS))
-    word_table = tables.write(ask_words(blocks, parts).groupBy("part").applyInArrow(answer_words, _TABLE), "words")
+    word_table = tables.write(ask_words(blocks, parts).groupBy("part").applyInArrow(lambda t: answer_words(t, parts), _TABLE), "words")
     sums = _sums(word_table)
     train_tokens, distinct = int(sums[0]), int(sums[1])
     factor = discounts(sums[2:])
     hot = np.zeros(0, np.uint64)
     if train_tokens:
-        hot = _hot(word_table, train_tokens, n_tokens)
-    answers = word_table.filter("block >= 0").select("block", "part", "n", "counts")
-    pair_table = ask_pairs(blocks, answers, parts, parts, hot).groupBy("part").applyInArrow(lambda t: answer_pairs(t, factor, max(train_tokens, 1)), _TABLE)
+        hot = _hot(word_table, train_tokens, parts)
+    answers = word_table.filter("block >= 0").select("block", "part", "n", "counts", "keys")
+    texts = blocks.select("block", "n_docs", "n_words", "n_tokens", "train", "lengths", "tokens")
+    pair_table = ask_pairs(texts, answers, parts, hot).groupBy("part").applyInArrow(lambda t: answer_pairs(t, factor, max(train_tokens, 1)), _TABLE)
     pair_table = tables.write(pair_table, "pairs")
     pair_factor = discounts(_sums(pair_table)[2:])
-    hot_stats = np.zeros((len(hot), DISCOUNTED + 2))
-    for r in pair_table.filter("block = -2").select("part", "keys").toLocalIterator() if len(hot) else ():
-        n = len(r["keys"]) // (8 * (DISCOUNTED + 3))
-        h, s = np.frombuffer(r["keys"], np.uint64, n), np.frombuffer(r["keys"], np.float64, offset=8 * n).reshape(n, -1)
-        at = np.minimum(np.searchsorted(h, hot), max(n - 1, 0))
-        if n:
-            hot_stats += np.where((h[at] == hot)[:, None], s[at], 0)
+    hot_stats = _hot_stats(pair_table, hot)
     none = F.lit(None).cast("binary")
-    both = answers.select("block", "part", "n", "counts", none.alias("keys"), none.alias("sums")).union(pair_table.filter("block >= 0").select("block", "part", "n", "counts", "keys", "sums"))
+    both = answers.select("block", "part", "n", "counts", "keys", none.alias("sums")).union(pair_table.filter("block >= 0").select("block", "part", "n", "counts", "keys", "sums"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         row, told = left.to_pylist()[0], right.to_pylist()
-        keys, known = block_words(row, [t for t in told if t["keys"] is None], parts)
-        told = [t for t in told if t["keys"] is not None]
-        a, b, _, order, ends, which, lengths, train = block_pairs(row, keys, hot, parts)
-        counts = _block_counts(row, told, parts, order, ends)
-        stats = np.zeros((len(keys) + 1, DISCOUNTED + 2))
+        known, names = block_words([t for t in told if t["sums"] is None])
+        told = [t for t in told if t["sums"] is not None]
+        names = np.r_[names, START]
+        a, b, _, order, ends, which, lengths = block_pairs(row, names, hot, parts)
+        counts = np.zeros(len(a), np.int64)
+        stats = np.zeros((len(names), DISCOUNTED + 2))
         for t in told:
-            own = a[order[ends[t["part"]] : ends[t["part"] + 1]]]
+            own = order[ends[t["part"]] : ends[t["part"] + 1]]
+            counts[own] = unpack(t["counts"], np.int64, t["n"])
+            own = a[own]
             own = own[np.r_[True, own[1:] != own[:-1]]]
             stats[own, :-1] = unpack(t["keys"], np.int64, (DISCOUNTED + 1) * len(own)).reshape(-1, len(own)).T
             stats[own, -1] = unpack(t["sums"], np.float64, len(own))
-        at = np.minimum(np.searchsorted(hot, keys), max(len(hot) - 1, 0))
-        for i in np.flatnonzero(hot[at] == keys) if len(hot) else ():
-            stats[i] = hot_stats[at[i]]
-        if len(hot) and hot[0] == 0:
-            stats[len(keys)] = hot_stats[0]
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, names), len(hot) - 1)
+            is_hot = hot[at] == names
+            stats[is_hot] = hot_stats[at[is_hot]]
         denominator, weight = backoff(stats, pair_factor)
         single = discounted(known, factor) / max(train_tokens, 1)
         unknown = max(1 - sums_mass, 1e-12)
@@ -339,20 +357,41 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     # unigram mass that is given away to seen words: by counts of counts, so it needs no table
     low = sums[2 : 2 + DISCOUNTED] * np.arange(1, DISCOUNTED + 1)
     sums_mass = 1 - float((low * (1 - factor[1:])).sum()) / max(train_tokens, 1)
-    out = meet(blocks, both, run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = meet(blocks.drop("words", "counts"), both, run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     score = F.col("score") if train_tokens else F.lit(None).cast("double")
     held = F.coalesce(fold(F.col("id"), folds) == held_out, F.lit(True))
     return out.select(F.col("id").alias(id_column), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", score.alias("score"))
 
 
-def _hot(word_table: DataFrame, train_tokens: int, n_tokens: int) -> np.ndarray:
-    """Histories that stand for over a thousandth of training tokens: fewer than 1000; and the start, which stands before every text."""
+def _hot(word_table: DataFrame, train_tokens: int, parts: int) -> np.ndarray:
+    """Numbers of histories that stand for over a thousandth of training tokens: fewer than 1000; and the start, which stands before every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                keys, counts = np.frombuffer(r["keys"], np.uint64), unpack(r["counts"], np.int64, r["n"])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[counts * 1000 > train_tokens].view(np.int64))], ["h"])
+                named = numbers(r["n"], r["part"], parts)
+                yield pa.RecordBatch.from_arrays([pa.array(named[unpack(r["counts"], np.int64, r["n"]) * 1000 > train_tokens].view(np.int64))], ["h"])
+
+    found = word_table.filter("block = -1").select("part", "n", "counts").mapInArrow(run, "h long").collect()
+    return np.unique(np.array([int(START), *[r["h"] for r in found]], np.int64).view(np.uint64))
+
 
-    found = word_table.filter("block = -1").select("n", "keys", "counts").mapInArrow(run, "h long").collect()
-    return np.unique(np.array([0, *[r["h"] for r in found]], np.int64).view(np.uint64))
+def _hot_stats(pair_table: DataFrame, hot: np.ndarray) -> np.ndarray:
+    """Statistics of hot histories, summed over partitions: 1000 rows at most."""
+    width = DISCOUNTED + 2
+    out = np.zeros((len(hot), width))
+    if not len(hot):
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                heads, stats = unpack(r["keys"], np.uint64, r["n"]), unpack(r["counts"], np.float64, r["n"] * width).reshape(-1, width)
+                own = np.isin(heads, hot)
+                yield pa.RecordBatch.from_arrays([pa.array(heads[own].view(np.int64)), *[pa.array(x) for x in stats[own].T]], ["h", *[f"s{i}" for i in range(width)]])
+
+    columns = [f"s{i}" for i in range(width)]
+    rows = pair_table.filter("block = -2").select("n", "keys", "counts").mapInArrow(run, ", ".join(["h long", *[f"{c} double" for c in columns]]))
+    for r in rows.groupBy("h").agg(*[F.sum(c).alias(c) for c in columns]).collect():
+        out[np.searchsorted(hot, np.uint64(r["h"]))] = [r[c] for c in columns]
+    return out
