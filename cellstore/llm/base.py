@@ -17,6 +17,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: A relation of at most this many narrow rows (under 100 bytes each) is broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -38,8 +40,14 @@ class Tables:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Once the table is written, the shuffles behind it are removed."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(SHUFFLE_CLEANUP)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
