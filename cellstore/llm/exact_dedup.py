@@ -58,7 +58,7 @@ def build_filters(block_bits: int):
         keys, counts = merged()
         blocks = (keys >> np.uint64(64 - block_bits)).astype(np.int64) if block_bits else np.zeros(len(keys), np.int64)
         names, first = np.unique(blocks, return_index=True)
-        for name, a, b in zip(names.tolist(), first, [*first[1:], len(keys)], strict=True):
+        for name, a, b in zip(names.tolist(), first, np.r_[first, len(keys)][1:], strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([keys[a:b].tobytes()]), pa.array([counts[a:b].tobytes()])], ["block", "remainders", "counts"])
 
     return build
