@@ -3,8 +3,8 @@
 1. Labellers look at a whole text and vote junk (0), clean (1) or abstain (2): symbols at word ends, capitals, separators,
    repeated words, repeated lines, share of letters, sentence marks, distinct word pairs.
 2. Votes are counted by pattern: at most 3^8 patterns, so what reaches the driver is bounded whatever the corpus. EM
-   (two classes, each labeller with its own rates of every vote in either class) estimates accuracies from counts of all documents
-   and gives each pattern its posterior.
+   (two classes, each labeller with its own rates of either vote in either class; an abstention is no evidence) estimates accuracies from
+   counts of all documents and gives each pattern its posterior.
 3. The posterior labels train a linear scorer on hashed byte pairs and triples of whole texts (2^12 counts, square root, unit
    length), by logistic regression. It is fitted on a bounded sample: of each side, the `sample` documents with the least hash of id and
    text; `sample` is the documented bound (2000). Everything else covers all documents.
@@ -114,13 +114,14 @@ def em(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> tuple[np.n
     junk, clean = (v == JUNK).sum(1), (v == CLEAN).sum(1)
     post = np.where(junk > 0, 0.1, np.where(clean > 0, 0.95, 0.9))
     one = np.eye(3)[v]  # pattern, labeller, vote
+    one[:, :, ABSTAIN] = 0  # no evidence: a short text mustn't be junk because few labellers can judge it
     for _ in range(rounds):
         w = np.stack([counts * (1 - post), counts * post])  # class, pattern
-        rates = np.einsum("cp,plv->lcv", w, one) + 1.0
+        rates = np.einsum("cp,plv->lcv", w, one) + [1.0, 1.0, 0.0]
         rates /= rates.sum(2, keepdims=True)
         share = (w[1].sum() + 9) / (w.sum() + 10)
         # the classes keep their names: clean is the class in which junk is voted less
-        logs = np.einsum("plv,lcv->pc", one, np.log(rates)) + np.log([1 - share, share])
+        logs = np.einsum("plv,lcv->pc", one[:, :, :ABSTAIN], np.log(rates[:, :, :ABSTAIN])) + np.log([1 - share, share])
         new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
         if np.abs(new - post).max() < 1e-9:
             post = new
