@@ -291,8 +291,8 @@ def _open_pairs(open_: DataFrame, tested: DataFrame, percent: int, pivots: int)
     """Pairs not yet tested of members that share a shingle of their prefixes (a group shares all of its) but no class.
 
     Under each shingle with several classes, members of all classes but the largest meet members of other classes. With
-    pivots > 0, each meets one member of the largest class only, another in each round; with 0, all that pass the tests of size,
-    place and shared shingles, so nothing is left untested.
+    pivots > 0, each meets one member of the largest class only, another in each round; with 0, all that pass the tests of size
+    and place, so nothing is left untested. Bands of sizes in the join's key keep those that fail from meeting.
     """
     few = F.col("top") != F.col("root")
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -301,18 +301,43 @@ def _open_pairs(open_: DataFrame, tested: DataFrame, percent: int, pivots: int)
         met = open_.withColumn("_p", pivot).filter(few & (F.least("size", F.col("_p.s")) * 100 >= percent * F.greatest("size", F.col("_p.s"))))
         met = met.groupBy(F.least("m", F.col("_p.m")).alias("a"), F.greatest("m", F.col("_p.m")).alias("b")).agg(F.count("*").alias("shared"), F.max("size").alias("sa"), F.max("_p.s").alias("sb"))
         return met.filter(enough(F.col("sa"), F.col("sb"), F.col("shared"), percent)).select("a", "b").join(done, ["a", "b"], "left_anti")
-    a = open_.filter(few).select("token", F.col("m").alias("ma"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("place").alias("pa"), "top")
-    b = open_.select("token", F.col("m").alias("mb"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
-    size_ok = (F.col("sa") * 100 >= percent * F.col("sb")) & (F.col("sb") * 100 >= percent * F.col("sa"))
+    left = _partner_bands(open_.withColumn("few", few), percent)
+    a = left.filter("few").select("token", F.col("own").alias("ka"), F.col("partner").alias("kb"), F.col("m").alias("ma"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("place").alias("pa"), "top")
+    b = left.select("token", F.col("partner").alias("ka"), F.col("own").alias("kb"), F.col("m").alias("mb"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
     # two members outside the largest class meet once, from the lesser one
     once = (F.col("rb") == F.col("top")) | (F.col("ma") < F.col("mb"))
-    met = a.join(b, "token").filter((F.col("ra") != F.col("rb")) & size_ok & once)
+    needed = F.expr(_needed("sa", "sb", percent))
+    # no shingle further on in either set can be the first that linked sets share
+    met = a.join(b, ["token", "ka", "kb"]).filter((F.col("ra") != F.col("rb")) & once & (F.col("sa") - F.col("pa") >= needed) & (F.col("sb") - F.col("pb") >= needed))
     swap = F.col("ma") > F.col("mb")
     both = met.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"), *[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(n) for n, x, y in (("sa", "sa", "sb"), ("sb", "sb", "sa"), ("pa", "pa", "pb"), ("pb", "pb", "pa"))])
-    both = both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    # from the first shingle that both prefixes share, what is left of either must reach the overlap
-    place_ok = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) * (100 + percent) >= percent * (F.col("sa") + F.col("sb"))
-    return both.filter(place_ok & enough(F.col("sa"), F.col("sb"), F.col("shared"), percent)).select("a", "b").join(done, ["a", "b"], "left_anti")
+    both = both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    # all that both share up to the last shingle met has been counted; what is left of either must reach the overlap
+    place_ok = F.col("shared") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) - 1 >= needed
+    return both.filter(place_ok).select("a", "b").join(done, ["a", "b"], "left_anti")
+
+
+def _needed(a: str, b: str, percent: int) -> str:
+    """SQL for the least overlap of sets of these sizes, in whole numbers."""
+    return f"({percent} * (CAST({a} AS BIGINT) + {b}) + {99 + percent}) DIV {100 + percent}"
+
+
+def _band(size: str) -> str:
+    """SQL for a size's band: eight bands to each doubling, sizes under 16 one each."""
+    return f"IF({size} < 8, {size}, (LENGTH(BIN({size})) - 4) * 8 + SHIFTRIGHT({size}, LENGTH(BIN({size})) - 4))"
+
+
+def _partner_bands(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (token, size, place, ..) for each band of sizes (partner) with a size that allows a link through this shingle; own is the row's.
+
+    A shingle at place p of a set of size s can be the first that it shares with a linked set of size t only if s - p reaches the least
+    overlap of s and t, which grows with t: the later the shingle, the smaller its partners. The least size of the band decides.
+    """
+    lowest = f"({percent} * CAST(size AS BIGINT) + 99) DIV 100"
+    ranged = rows.withColumns({"_low": F.expr(lowest), "_high": F.expr(f"CAST(size AS BIGINT) * 100 DIV {percent}"), "own": F.expr(_band("CAST(size AS BIGINT)"))})
+    dealt = ranged.withColumn("partner", F.explode(F.expr(f"SEQUENCE({_band('_low')}, {_band('_high')})")))
+    start = F.expr("GREATEST(_low, IF(partner < 16, partner, SHIFTLEFT(partner % 8 + 8, CAST(partner DIV 8 - 1 AS INT))))")
+    return dealt.withColumn("_start", start).filter(f"size - place >= {_needed('size', '_start', percent)}").drop("_low", "_high", "_start")
 
 
 def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
