@@ -39,7 +39,7 @@ from .base import BROADCAST_ROWS, Tables, mix, pieces, utf8, with_column_free, w
 
 SKETCH_BITS = 20
 #: Rounds in which open shingles are tried through one more pivot, before all their open pairs are.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 _SALT = np.random.default_rng(31).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -323,21 +323,20 @@ def _needed(a: str, b: str, percent: int) -> str:
 
 
 def _band(size: str) -> str:
-    """SQL for a size's band: eight bands to each doubling, sizes under 16 one each."""
-    return f"IF({size} < 8, {size}, (LENGTH(BIN({size})) - 4) * 8 + SHIFTRIGHT({size}, LENGTH(BIN({size})) - 4))"
+    """SQL for a size's band: four bands to each doubling, sizes under 8 one each."""
+    return f"IF({size} < 4, {size}, (LENGTH(BIN({size})) - 3) * 4 + SHIFTRIGHT({size}, LENGTH(BIN({size})) - 3))"
 
 
 def _partner_bands(rows: DataFrame, percent: int) -> DataFrame:
     """Rows (token, size, place, ..) for each band of sizes (partner) with a size that allows a link through this shingle; own is the row's.
 
     A shingle at place p of a set of size s can be the first that it shares with a linked set of size t only if s - p reaches the least
-    overlap of s and t, which grows with t: the later the shingle, the smaller its partners. The least size of the band decides.
+    overlap of s and t, which grows with t: the later the shingle, the smaller its largest partner.
     """
     lowest = f"({percent} * CAST(size AS BIGINT) + 99) DIV 100"
-    ranged = rows.withColumns({"_low": F.expr(lowest), "_high": F.expr(f"CAST(size AS BIGINT) * 100 DIV {percent}"), "own": F.expr(_band("CAST(size AS BIGINT)"))})
-    dealt = ranged.withColumn("partner", F.explode(F.expr(f"SEQUENCE({_band('_low')}, {_band('_high')})")))
-    start = F.expr("GREATEST(_low, IF(partner < 16, partner, SHIFTLEFT(partner % 8 + 8, CAST(partner DIV 8 - 1 AS INT))))")
-    return dealt.withColumn("_start", start).filter(f"size - place >= {_needed('size', '_start', percent)}").drop("_low", "_high", "_start")
+    highest = f"LEAST(CAST(size AS BIGINT) * 100 DIV {percent}, (CAST(size AS BIGINT) - place) * {100 + percent} DIV {percent} - size)"
+    ranged = rows.withColumns({"_low": F.expr(lowest), "_high": F.expr(highest), "own": F.expr(_band("CAST(size AS BIGINT)"))}).filter("_low <= _high")
+    return ranged.withColumn("partner", F.explode(F.expr(f"SEQUENCE({_band('_low')}, {_band('_high')})"))).drop("_low", "_high")
 
 
 def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
