@@ -15,7 +15,7 @@ whole sequence if there are fewer words; nothing without words), as 64-bit hashe
    Pairs expand to members: each member of a group is checked against one member of the other, and within its group.
 5. Pairs are verified on whole sets, which are made again from the texts of candidate documents. Links give classes, by
    min-label propagation with contraction.
-6. Exactness beyond the pivot: shingles whose members are still in more than one class are looked at again. For a few rounds members outside
+6. Exactness beyond the pivot: shingles whose members are still in more than one class are looked at again. For PIVOT_ROUNDS rounds members outside
    the largest class meet another pivot of it; then all pairs of different classes that pass the tests of size and place are verified,
    until a shingle's members are in one class or no pair is untested. None is verified twice.
 
