@@ -10,7 +10,8 @@ Nothing moves word by word. Each task packs its documents into blocks: distinct
    Partitions (by hash range) hold the unigram table. They number training words, frequent ones first; the answer carries the number.
 2. A block asks in the same way for its distinct bigrams of training words, as sorted differences of numbers, dealt by the history's number,
    or by the bigram's if the history stands for over a thousandth of all tokens (fewer than 1000 such histories). A partition adds counts up
-   and, for each history, what its backoff weight needs. A bigram with a word that training text lacks has no count and isn't asked for.
+   and, for each history, what its backoff weight needs. A bigram with a word that training text lacks has no count and isn't asked for,
+   but for one bigram of each history that has no other in the block: every history of training text gets its weight, whatever the block.
 3. Blocks meet their answers, and every token is evaluated: discounted bigram, or backoff weight times unigram.
 So a frequent bigram is sent once a block, not once an occurrence. Words are 64-bit hashes. Tables and answers are written to the shared
 folder, by partition.
@@ -209,7 +210,12 @@ def block_pairs(row: dict, names: np.ndarray, hot: np.ndarray, parts: int):
     uniq, which = np.unique(before * (n_words + 1) + tokens, return_inverse=True)
     counts = np.bincount(which[np.repeat(train, lengths)], minlength=len(uniq))
     left, right = uniq // (n_words + 1), uniq % (n_words + 1)
-    asked = np.flatnonzero((names[left] > 0) & (names[right] > 0))
+    asked = (names[left] > 0) & (names[right] > 0)
+    # a history that stands here only before unknown words is asked for with one of them, so that its statistics come; hot ones come anyway
+    bare = (names > 0) & ~np.isin(names, hot)
+    bare[left[asked]] = False
+    asked |= bare[left] & (np.diff(left, prepend=-1) > 0)
+    asked = np.flatnonzero(asked)
     h, w = names[left[asked]], names[right[asked]]
     at = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
     is_hot = (hot[at] == h) if len(hot) else np.zeros(len(h), bool)
