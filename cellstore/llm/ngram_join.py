@@ -12,7 +12,8 @@ whole sequence if there are fewer words; nothing without words), as 64-bit hashe
 3. Identical sets are collapsed into one member, and members with identical prefix and size into one group. Only groups meet.
 4. Postings (shingle, group, size, place in the prefix) are dealt by shingle. Within a shingle, every group is paired with one
    pivot (the least), never all with all; pairs of groups are filtered by size and by how many shingles their prefixes share.
-   Pairs expand to members: each member of a group is checked against one member of the other, and within its group.
+   Pairs expand to members: each member of a group is checked against one member of the other, and within its group. A shingle
+   that a single group holds is kept if the group has several members: they may be linked among themselves but not with its least.
 5. Pairs are verified on whole sets, which are made again from the texts of candidate documents. Links give classes, by
    min-label propagation with contraction.
 6. Exactness beyond the pivot: shingles whose members are still in more than one class are looked at again. For PIVOT_ROUNDS rounds members outside
@@ -125,7 +126,7 @@ def features(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
 
 
 def posting_rows(groups: DataFrame, percent: int) -> DataFrame:
-    """A row for each shingle of a group's prefix: token, gid, size, place."""
+    """A row for each shingle of a group's prefix: token, gid, size, place, several (has the group several members?)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,11 +137,11 @@ def posting_rows(groups: DataFrame, percent: int) -> DataFrame:
                 ends = np.cumsum(lengths)
                 place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(np.repeat(batch.column("gid").to_numpy(), lengths)), pa.array(np.repeat(batch.column("size").to_numpy(), lengths).astype(np.int32)), pa.array(place.astype(np.int32))],
-                    ["token", "gid", "size", "place"],
+                    [pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(np.repeat(batch.column("gid").to_numpy(), lengths)), pa.array(np.repeat(batch.column("size").to_numpy(), lengths).astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(np.repeat(batch.column("n_members").to_numpy() > 1, lengths))],
+                    ["token", "gid", "size", "place", "several"],
                 )
 
-    return groups.select("gid", "size", "prefix").mapInArrow(run, "token long, gid long, size int, place int")
+    return groups.select("gid", "size", "n_members", "prefix").mapInArrow(run, "token long, gid long, size int, place int, several boolean")
 
 
 def member_sets(docs: DataFrame, wanted: DataFrame, n: int, few: bool) -> DataFrame:
@@ -218,10 +219,10 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     prefixes = feats.select("id", "size", "prefix").join(first, "id").dropDuplicates(["id"]).withColumnRenamed("id", "gid")
 
     posts = posting_rows(prefixes, percent)
-    # the pivot of a shingle is its least group; a shingle of one group is of no use
+    # the pivot of a shingle is its least group; a shingle of one member is of no use, one of a single group serves that group's members
     over = Window.partitionBy("token")
-    pivoted = posts.withColumns({"_n": F.count("*").over(over), "_pivot": F.min("gid").over(over)}).filter("_n > 1")
-    posts = tables.write(pivoted.select("token", "gid", "size", "place", F.col("_pivot").alias("pivot")), "postings")
+    pivoted = posts.withColumns({"_n": F.count("*").over(over), "_pivot": F.min("gid").over(over)}).filter("_n > 1 OR several")
+    posts = tables.write(pivoted.select("token", "gid", "size", "place", F.col("_pivot").alias("pivot"), (F.col("_n") == 1).alias("own")), "postings")
 
     # inside a group of several members, the least is the pivot
     inside = members.join(grouped.filter("n_members > 1").select("group_a", "group_b", "size", "gid"), ["group_a", "group_b", "size"])
@@ -234,8 +235,7 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     more = inside.filter("gid <> member").select(F.col("gid").alias("a"), F.col("member").alias("b"))
     pairs = tables.write(pairs.union(more), "pairs-1")
 
-    expanded = posts.select("token", "gid", "size", "place").join(inside, "gid", "left").select("token", F.coalesce("member", "gid").alias("m"), "size", "place")
-    tested, links, k, step = None, None, 0, 0
+    expanded, tested, links, k, step = None, None, None, 0, 0
     while True:
         k += 1
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
@@ -257,6 +257,12 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
             tested = spark.createDataFrame([], "a long, b long, linked boolean")
         while True:  # the next round that has pairs
             step += 1
+            if expanded is None:
+                # shingles of a single group matter only if its members aren't in one class by now
+                split = inside.join(roots.select(F.col("v").alias("member"), "root"), "member", "left").groupBy("gid").agg(F.min(F.coalesce("root", "member")).alias("_x"), F.max(F.coalesce("root", "member")).alias("_y"))
+                split = tables.write(split.filter("_x <> _y").select("gid"), "split")
+                wide = posts.filter("NOT own").unionByName(posts.filter("own").join(split, "gid", "left_semi").select(*posts.columns))
+                expanded = wide.select("token", "gid", "size", "place").join(inside, "gid", "left").select("token", F.coalesce("member", "gid").alias("m"), "size", "place")
             expanded = tables.write(_open(expanded, roots), f"open-{step}")
             pairs = tables.write(_open_pairs(expanded, tested, percent, k if k <= PIVOT_ROUNDS else 0), f"pairs-{step + 1}")
             if k > PIVOT_ROUNDS or not pairs.isEmpty():
