@@ -4,16 +4,18 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1 and so on, and sh
 at `most` times its source's size and the excess is shared again by weight until none is above. That fixed point is found in
 one pass: sorted by most * size / weight, the capped sources come first.
 
-Schedule: slot k of 2^m has the van der Corput point bitreverse(k) / 2^m. Cumulative targets cut [0, 1) into a range for each
-source, so a source's slots are the points in its range: its count differs from its share by less than one slot, and any stretch
-of the schedule is mixed in proportion. Slots of a source are ranked in schedule order.
+Schedule: slot k of 2^m has the van der Corput point bitreverse(k) / 2^m and the time k / 2^m. Cumulative targets cut [0, 1) into a
+range for each source, so a source's slots are points from its range on: any stretch of the schedule is mixed in proportion. m is
+16, or more for a source whose target would get under 256 slots, so that it gets as many: its blocks are smaller by that power
+of two, of one word at least. Slots of a source are ranked in schedule order.
 
-Blocks: a source's documents are shuffled by a hash, and their words, end to end, are cut into blocks of total / 2^m words (to
-the nearest word). The slot of rank r takes block r mod blocks, in epoch r / blocks; ranks beyond `most` epochs aren't used, so
-no document is taken more than `most` times. Prefix sums are found within hash buckets of a source and carried over the buckets,
-so a source with a third of all rows is still dealt to many tasks.
+Blocks: a source's documents are shuffled by a hash, and their words, end to end, are cut into equal blocks (to the nearest word)
+of about total / 2^m words. It gets as many slots as come nearest to its target, so the words taken miss the target by half a block
+at most: half a word, or about 1 / 500 of the target (and a word, as edges are rounded). The slot of rank r takes block
+r mod blocks, in epoch r / blocks; slots are `most` epochs at most, so no document is taken more than `most` times. Prefix sums are
+found within hash buckets of a source and carried over the buckets, so a source with a third of all rows is still dealt to many tasks.
 
-Slots are 65,536, or at least 64 for each source if there are over 1024; the schedule is broadcast up to 2^18 slots.
+Slots are under 65,536 and 513 for each source; the schedule is broadcast up to 2^18 slots.
 
 Defined cases: null or empty text has size 0 and is never taken; a source of size 0 has target 0. Repeated rows are
 rows of their own, ordered by id. Without words all targets are 0. An empty table gives an empty result; further columns
@@ -30,6 +32,10 @@ from .base import WORD, Tables, with_column_free
 WEIGHTS = (5, 2, 1)
 BUCKETS = 512
 SLOT_BITS = 16
+#: Slots of the least target, if it has as many words.
+LEAST_SLOTS = 256
+#: Doubles are exact up to here.
+MOST_BITS = 52
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -53,19 +59,26 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
     return sized.select("source", "source_size", "place", "weight", F.when(F.col("_capped"), F.col("_cap").cast("double")).otherwise(share).alias("target"))
 
 
-def schedule(aims: DataFrame, bits: int, total: int, most: int = 3) -> DataFrame:
-    """The slots in use: slot, source, rank, block, epoch. aims: as `targets` gives."""
-    slots = 1 << bits
-    so_far = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("target").over(so_far)
-    ranged = aims.withColumn("_to", F.least(F.lit(slots), F.round(upto / total * slots).cast("int")))
-    ranged = ranged.withColumn("_from", F.coalesce(F.lag("_to").over(Window.orderBy("place")), F.lit(0)))
-    points = ranged.filter("_from < _to").withColumn("_point", F.explode(F.expr("sequence(_from, _to - 1)")))
-    turned = F.conv(F.reverse(F.lpad(F.bin(F.col("_point").cast("long")), bits, "0")), 2, 10).cast("int")
-    ranked = points.withColumn("slot", turned).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1)
-    blocks = F.ceil(F.col("source_size") * F.lit(slots) / F.lit(total)).cast("long")
-    ranked = ranked.withColumn("_blocks", F.greatest(blocks, F.lit(1).cast("long")))
-    return ranked.filter(F.col("rank") < most * F.col("_blocks")).select("slot", "source", "rank", (F.col("rank") % F.col("_blocks")).alias("block"), F.floor(F.col("rank") / F.col("_blocks")).alias("epoch"))
+def cut_blocks(aims: DataFrame, total: int, most: int = 3) -> DataFrame:
+    """aims, as `targets` gives, with each source's bits (its slots are points of 2^bits), blocks and slots."""
+    bits = F.ceil(F.log2(F.lit(float(LEAST_SLOTS * total)) / F.col("target")))
+    cut = aims.withColumn("bits", F.when(F.col("target") > 0, F.least(F.lit(MOST_BITS), F.greatest(F.lit(SLOT_BITS), bits.cast("int")))).otherwise(F.lit(SLOT_BITS)))
+    blocks = F.floor(F.col("source_size") / F.lit(total) * F.pow(F.lit(2.0), "bits")).cast("long")
+    cut = cut.withColumn("blocks", F.greatest(F.least(blocks, "source_size"), F.lit(1).cast("long")))
+    slots = F.round(F.col("target") / F.greatest("source_size", F.lit(1)) * F.col("blocks")).cast("long")
+    return cut.withColumn("slots", F.least(slots, F.lit(most) * F.col("blocks"), F.pow(F.lit(2.0), "bits").cast("long")))
+
+
+def schedule(aims: DataFrame, total: int) -> DataFrame:
+    """The slots in use: at (the slot's time, in [0, 1)), source, rank, block, epoch. aims: as `cut_blocks` gives."""
+    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    points = F.pow(F.lit(2.0), "bits").cast("long")
+    start = F.round(F.coalesce(F.sum("target").over(before), F.lit(0.0)) / total * points).cast("long")
+    ranged = aims.withColumn("_from", F.greatest(F.least(start, points - F.col("slots")), F.lit(0).cast("long")))
+    dealt = ranged.filter("slots > 0").withColumn("_point", F.explode(F.expr("sequence(_from, _from + slots - 1)")))
+    turned = F.conv(F.reverse(F.expr("lpad(bin(_point), bits, '0')")), 2, 10).cast("long")
+    ranked = dealt.withColumn("at", turned / points).withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("at")) - 1)
+    return ranked.select("at", "source", "rank", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("epoch"))
 
 
 def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -82,12 +95,11 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     total, n_sources = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
     if not total:
         return rows.select(F.col("_id").alias(id_column), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
-    bits = max(SLOT_BITS, (64 * n_sources - 1).bit_length())
-    aims = tables.write(targets(sizes, weights, most), "targets")
+    aims = tables.write(cut_blocks(targets(sizes, weights, most), total, most), "targets")
 
     so_far = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.withColumn("_base", F.coalesce(F.sum("_words").over(so_far), F.lit(0))).drop("_words")
-    offsets = offsets.join(aims.select("source", "source_size", "target"), offsets["source"].eqNullSafe(aims["source"])).drop(aims["source"])
+    offsets = offsets.join(aims.select("source", "source_size", "target", "blocks"), offsets["source"].eqNullSafe(aims["source"])).drop(aims["source"])
     offsets = offsets.withColumnRenamed("source", "_s").withColumnRenamed("_bucket", "_b")
     in_bucket = Window.partitionBy("source", "_bucket").orderBy("_hash", F.col("_id").asc_nulls_last(), "size")
     placed = rows.withColumn("_n", F.row_number().over(in_bucket)).withColumn("_to", F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)))
@@ -96,14 +108,13 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["_s"]) & (placed["_bucket"] == offsets["_b"])).drop("_s", "_b")
     placed = placed.withColumn("_end", F.col("_base") + F.col("_to")).withColumn("_start", F.col("_end") - F.col("size"))
 
-    # block b holds the words from ceil(b * total / slots) on
-    slots = F.lit(1 << bits).cast("long")
-    edge = lambda b: F.expr(f"cast(({b} * {total}L + {(1 << bits) - 1}L) div {1 << bits}L AS long)")
-    first, last = F.floor(F.col("_start") * slots / F.lit(total)) - 1, F.floor((F.col("_end") - 1) * slots / F.lit(total)) + 1
-    cut = placed.withColumn("_block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.greatest(first, F.lit(0)), last))))
+    # block b holds the words from ceil(b * source_size / blocks) on, in parts that don't overflow
+    edge = lambda b: F.expr(f"{b} * (source_size div blocks) + ({b} * (source_size % blocks) + blocks - 1) div blocks")
+    first, last = F.floor(F.col("_start") / F.col("source_size") * F.col("blocks")) - 1, F.floor((F.col("_end") - 1) / F.col("source_size") * F.col("blocks")) + 1
+    cut = placed.withColumn("_block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.col("blocks") - 1)))))
     cut = cut.withColumn("_words", F.greatest(F.least("_end", edge("(_block + 1)")) - F.greatest("_start", edge("_block")), F.lit(0)))
-    used = schedule(aims, bits, total, most).groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count("*").alias("_times"))
-    if bits <= 18:
+    used = schedule(aims, total).groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count("*").alias("_times"))
+    if (1 << SLOT_BITS) + (2 * LEAST_SLOTS + 1) * n_sources <= 1 << 18:
         used = F.broadcast(used)
     taken = cut.join(used, cut["source"].eqNullSafe(used["_s"]) & (cut["_block"] == used["_b"]), "left")
     out = taken.groupBy("source", "_bucket", "_n", "_id", "size", "source_size", "target").agg(F.sum(F.coalesce(F.col("_words") * F.col("_times"), F.lit(0))).cast("long").alias("taken"))
