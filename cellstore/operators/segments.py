@@ -46,7 +46,7 @@ def unique_keys(cells: DataFrame) -> DataFrame:
 
 
 def with_blocks(segments: DataFrame, per_block: int = 64, restart: int = 16) -> DataFrame:
-    """Entries in order with block, place in the block, the prefix shared with the key before (none at a restart) and bytes so far.
+    """Entries in order with block, place in the block, and the prefix shared with the key before (none at a restart).
 
     A block has a fixed number of entries here; keys are row + column. Windows run within a segment.
     """
