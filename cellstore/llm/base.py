@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,11 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set."""
+    """The folder that all executors share. Where none is set, local mode gets a temporary one; a cluster has no such folder, so that is an error."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="shared-")
         spark.sparkContext.setCheckpointDir(at)
         at = spark.sparkContext.getCheckpointDir() or at
@@ -40,7 +44,8 @@ class Tables:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Once the table is written, the shuffles behind it are removed."""
+        """Once the table is written, the shuffles behind it are removed. While it is written, that goes for the session's other queries too: if
+        such a query runs again, Spark makes its shuffles anew."""
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(SHUFFLE_CLEANUP)
         self.spark.conf.set(SHUFFLE_CLEANUP, "true")
@@ -107,16 +112,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             a = b
 
 
-_RNG = np.random.default_rng(20240517)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_Q = np.uint64(0xC2B2AE3D27D4EB4F)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _TO_LOWER = np.arange(256, dtype=np.uint8)
 _TO_LOWER[65:91] += 32
-_STEP = 1 << 19
-_POWERS: list[np.ndarray] = []
+#: Bytes of a span beyond which it is hashed by BLAKE2b, on its own.
+SHORT = 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,23 +133,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, _STEP + (1 << 16))
-        out = []
-        for base in (_P, _P_INV):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=np.uint64))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+class Spans:
+    """Byte ranges of one buffer, eight bytes at a time."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        padded = np.zeros((len(data) // 8 + 2) * 8, np.uint8)
+        padded[: len(data)] = data
+        self.data, self.starts, self.sizes = data, starts, ends - starts
+        self.eights = padded.view("<u8")
+
+    def load(self, k: int, own: np.ndarray | slice) -> np.ndarray:
+        """Bytes 8 k to 8 k + 8 of the spans `own`, each longer than 8 k; bytes behind a span's end are 0."""
+        at = self.starts[own] + 8 * k
+        i, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+        x = self.eights[i] >> shift
+        x |= self.eights[i + 1] << (np.uint64(63) - shift) << np.uint64(1)
+        return x & _MASKS[np.minimum(self.sizes[own] - 8 * k, 8)]
+
+    def bytes_of(self, i: int) -> bytes:
+        a = int(self.starts[i])
+        return self.data[a : a + int(self.sizes[i])].tobytes()
+
+    def hashes(self) -> np.ndarray:
+        """64 bits for each span, not linear in its bytes: blocks of eight bytes are mixed one into another, and a span of over
+        32 bytes gets its BLAKE2b. n different spans have two that agree with odds of about n^2 / 2^65."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        out = mix(self.load(0, slice(None)) ^ self.sizes.astype(np.uint64) * _P)
+        for k in range(1, SHORT // 8):
+            live = np.flatnonzero(self.sizes > 8 * k)
+            if not len(live):
+                break
+            out[live] = mix(out[live] + self.load(k, live) * _Q)
+        for i in np.flatnonzero(self.sizes > SHORT).tolist():
+            out[i] = int.from_bytes(blake2b(self.bytes_of(i), digest_size=8).digest(), "little")
+        return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of rows as 64-bit hashes: (hashes, byte starts, index of each row's first word, with the end).
 
-    A-Z are lower-cased. A hash is a polynomial of the word's bytes modulo 2^64, mixed with its length; it is found from
-    running sums, so that no Python object is made for a word.
+    A-Z are lower-cased. No Python object is made for a word of 32 bytes or less.
     """
     n = len(data)
     if not n:
@@ -161,15 +189,4 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[-1] = True
     after[:-1] = space[1:]
     ends = np.flatnonzero(~space & (after | edge[1:])) + 1
-    hashes = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):  # running sums over about half a MB at a time
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _STEP, "right")))
-        s0, s1 = int(starts[a]), int(ends[b - 1])
-        power, inverse = powers(s1 - s0 + 1)
-        run = np.zeros(s1 - s0 + 1, np.uint64)
-        np.cumsum(_BYTE[_TO_LOWER[data[s0:s1]]] * power[: s1 - s0], out=run[1:])
-        x, y = starts[a:b] - s0, ends[a:b] - s0
-        hashes[a:b] = mix((run[y] - run[x]) * inverse[x] + (y - x).astype(np.uint64) * _P)
-        a = b
-    return hashes, starts, np.searchsorted(starts, offsets)
+    return Spans(_TO_LOWER[data], starts, ends).hashes(), starts, np.searchsorted(starts, offsets)

@@ -30,7 +30,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import mix, pieces, powers, with_column_free
+from .base import SHORT, Spans, pieces, with_column_free
 
 CACHE_PIECES = 400_000
 LANE = 128
@@ -260,20 +260,44 @@ def merger(path: str) -> tuple[Merger, list[bytes]]:
     return _LOADED[path]
 
 
-@cache
-def _values() -> np.ndarray:
-    return mix(np.arange(1, 0x110002, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def distinct_pieces(spans: Spans) -> tuple[np.ndarray, np.ndarray]:
+    """(index of one span of each content, which content each span has), told by the bytes themselves.
+
+    Spans of up to seven bytes are their own keys; longer ones are keyed by hash and compared with the one that stands for their key. Should two
+    contents share a key, all are told apart by a dictionary instead.
+    """
+    sizes = spans.sizes
+    short = sizes < 8
+    keys = spans.hashes() | np.uint64(1 << 63)
+    keys[short] = spans.load(0, short) | sizes[short].astype(np.uint64) << np.uint64(56)
+    _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+    own = np.flatnonzero(~short)
+    other = one[which[own]]
+    same = sizes[own] == sizes[other]
+    for k in range(SHORT // 8):
+        at = np.flatnonzero(same & (sizes[own] > 8 * k))
+        same[at] = spans.load(k, own[at]) == spans.load(k, other[at])
+    for i in np.flatnonzero(same & (sizes[own] > SHORT) & (own != other)).tolist():
+        same[i] = spans.bytes_of(own[i]) == spans.bytes_of(other[i])
+    if same.all():
+        return one, which
+    seen: dict[bytes, int] = {}
+    which = np.array([seen.setdefault(spans.bytes_of(i), len(seen)) for i in range(len(sizes))], np.int64)
+    return np.unique(which, return_index=True)[1], which
 
 
 def encode_texts(texts: list[str], merge: Merger) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids of all texts, code-point offset in its text of each id's piece, where each text's ids end).
 
-    Pieces of a batch are told apart by a 64-bit hash of their code points (two that differ agree with odds of about 1 in 10^8 a batch
-    at most), so that Python handles each distinct piece once.
+    Python handles each distinct piece of a batch once.
     """
     joined = "\x00".join([*texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint32)
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64)) - 1
+    widths = np.ones(len(points), np.int64)
+    for least in (0x80, 0x800, 0x10000):
+        widths += points >= least
+    byte = np.r_[0, np.cumsum(widths)]
     points[ends] = 0x110000
     starts = boundaries(points)
     stops = np.r_[starts[1:], len(points)]
@@ -281,11 +305,7 @@ def encode_texts(texts: list[str], merge: Merger) -> tuple[np.ndarray, np.ndarra
     starts, stops = starts[real], stops[real]
     if not len(starts):
         return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    power, inverse = powers(len(points) + 1)
-    run = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum(_values()[points] * power[: len(points)], out=run[1:])
-    keys = mix((run[stops] - run[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
-    _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+    one, which = distinct_pieces(Spans(np.frombuffer(joined.encode(), np.uint8), byte[starts], byte[stops]))
     at, count = merge.places([joined[a:b] for a, b in zip(starts[one].tolist(), stops[one].tolist(), strict=True)])
     counts = count[which]
     upto = np.cumsum(counts)
@@ -344,6 +364,6 @@ def decode(tokens: DataFrame, path: str, ids_column: str = "ids", to: str = "dec
 
 def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Digests of ids and of decoded bytes: id, n_tokens, ids_sha256, decoded_sha256."""
-    tokens = encode(docs, path, id_column, text_column).select(F.col(id_column), "ids")
-    told = tokens.select(id_column, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"))
-    return decode(told, path).select(id_column, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    tokens = encode(docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")), path, "_id", "_text")
+    told = tokens.select("_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"))
+    return decode(told, path).select(F.col("_id").alias(id_column), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
