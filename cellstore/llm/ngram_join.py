@@ -6,41 +6,44 @@ whole sequence if there are fewer words; nothing without words), as 64-bit hashe
 
 1. A sketch counts in how many documents shingles occur, in 2^20 counters whatever the corpus. Shingles are ordered by (count,
    hash): one total order for all documents, in which passages that many documents share come last. The order steers
-   cost only, never the result.
-2. Each document gives its size, a digest of its whole set, and its prefix: the first size - ceil(percent% of size) + 1
-   shingles of its set. Linked documents share a shingle of their prefixes.
+   cost only, never the result. Shingles whose counter stands for over a thousandth of all documents are marked as hot.
+2. Each document gives its size, a digest of its whole set, a bitmap of its set (three to six bits a shingle), and its prefix: the first
+   size - ceil(percent% of size) + 1 shingles of its set. Linked documents share a shingle of their prefixes.
 3. Identical sets are collapsed into one member, and members with identical prefix and size into one group. Only groups meet.
-4. Postings (shingle, group, size, place in the prefix) are dealt by shingle. Within a shingle, every group is paired with one
-   pivot (the least), never all with all; pairs of groups are filtered by size and by how many shingles their prefixes share.
-   Pairs expand to members: each member of a group is checked against one member of the other, and within its group. A shingle
-   that a single group holds is kept if the group has several members: they may be linked among themselves but not with its least.
-5. Pairs are verified on whole sets, which are made again from the texts of candidate documents. Links give classes, by
-   min-label propagation with contraction.
-6. Exactness beyond the pivot: shingles whose members are still in more than one class are looked at again. For PIVOT_ROUNDS rounds members outside
-   the largest class meet another pivot of it; then all pairs of different classes that pass the tests of size and place are verified,
-   until a shingle's members are in one class or no pair is untested. None is verified twice.
+4. Postings (shingle, group, size, place in the prefix) are dealt by shingle; those of hot shingles are summed before they are dealt, and joined
+   with the sums. Within a shingle, every group is paired with one pivot (the least), never all with all; pairs of groups are
+   filtered by size and by how many shingles their prefixes share. Pairs expand to members: a group's least member meets the other's, and
+   the members of its own group.
+5. Pairs pass a bound on the overlap that their bitmaps give (it never rules a link out), and are then verified on whole sets, which are made again
+   from the texts of the documents that are left. Links give classes, by min-label propagation.
+6. Exactness beyond the pivot: shingles whose members are still in more than one class are looked at again, and so are all prefixes of groups whose
+   members are. First, members outside a shingle's largest class meet one more pivot of it; then all pairs of different classes that pass the
+   tests of size and place meet, so that none is left untested. None is verified twice. In shingles with many members, bands of sizes in the join's
+   key keep those that can't be linked from meeting.
+
+Rows are the vertices: each has a number of its own, so ids may be of any type and may repeat, even with another text.
 
 Defined cases: null or empty text, or one of white space only, has an empty set and is linked with nothing (its class is its own id).
-Rows that repeat an id and a text are one document. A null id stays null, alone in its class. An empty table gives an empty result;
-further columns are ignored.
+A row with a null id is linked like others; its class is the least id that there is, or null. Rows that repeat an id and a text have one set, and so one
+class; rows that repeat an id with another text have each their own. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import BROADCAST_ROWS, Tables, mix, pieces, utf8, with_column_free, words
+from .base import BROADCAST_ROWS, Tables, mix, pieces, skew_left_join, utf8, with_column_free, words
 
 SKETCH_BITS = 20
-#: Rounds in which open shingles are tried through one more pivot, before all their open pairs are.
-PIVOT_ROUNDS = 1
+SLICES = 64
+#: Members of an open shingle from which on they meet by bands of sizes.
+MANY = 32
 _SALT = np.random.default_rng(31).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,56 +80,80 @@ def enough(size_a, size_b, shared, percent: int):
     return (shared + F.greatest(rest(size_a), rest(size_b))) * (100 + percent) >= percent * (size_a + size_b)
 
 
-def count_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Document counts of shingles by their hash's low bits; 2^20 counters, summed over partitions in slices."""
-    slices = 64
-    width = (1 << SKETCH_BITS) // slices
+def count_sketch(docs: DataFrame, n: int) -> tuple[np.ndarray, int]:
+    """(document counts of shingles by their hash's low bits, number of documents); 2^20 counters, summed over partitions in slices."""
+    width = (1 << SKETCH_BITS) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts, rows = np.zeros(1 << SKETCH_BITS, np.int64), 0
         for batch in pieces(batches):
             sets = list(shingles(*utf8(batch.column("text")), n))
             low = (np.concatenate(sets) & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)
             counts += np.bincount(low, minlength=1 << SKETCH_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices)), pa.array([pa.compress(counts[i * width : (i + 1) * width].tobytes(), "zstd", asbytes=True) for i in range(slices)])], ["slice", "counts"])
+            rows += len(batch)
+        parts = [counts[i * width : (i + 1) * width] for i in range(SLICES)] + [np.array([rows])]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES + 1)), pa.array([pa.compress(x.tobytes(), "zstd", asbytes=True) for x in parts])], ["slice", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(width, np.int64)
+        size = 1 if table.column("slice")[0].as_py() == SLICES else width
+        total = np.zeros(size, np.int64)
         for x in table.column("counts"):
-            total += np.frombuffer(pa.decompress(x.as_py(), width * 8, "zstd", asbytes=True), np.int64)
-        return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+            total += np.frombuffer(pa.decompress(x.as_py(), size * 8, "zstd", asbytes=True), np.int64)
+        return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([np.minimum(total, (1 << 63) - 1).tobytes()], pa.binary())})
 
     rows = docs.select("text").mapInArrow(run, "slice long, counts binary").groupBy("slice").applyInArrow(add, "slice long, counts binary")
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for x in rows.toLocalIterator():  # 64 rows of 128 KB
-        out[x["slice"] * width : (x["slice"] + 1) * width] = np.frombuffer(x["counts"], np.int64)
-    return np.minimum(out, (1 << 32) - 1).astype(np.uint32)
+    out, n_docs = np.zeros(1 << SKETCH_BITS, np.uint32), 0
+    for x in rows.toLocalIterator():  # 64 rows of 128 KB and one of a number
+        told = np.frombuffer(x["counts"], np.int64)
+        if x["slice"] == SLICES:
+            n_docs = int(told[0])
+        else:
+            out[x["slice"] * width : (x["slice"] + 1) * width] = np.minimum(told, (1 << 32) - 1)
+    return out, n_docs
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of a set's shingles by their hash's high bits; 256 bits or more, a power of two."""
+    bits = max(8, int(3 * len(s)).bit_length())
+    return np.packbits((np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).astype(np.uint8)).tobytes()
+
 
+def most_overlap(x: bytes, y: bytes, size_x: int, size_y: int) -> int:
+    """At most so many shingles are in both sets: each bit that differs needs one that is in one of them alone."""
+    a, b = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    if len(a) < len(b):  # a bit of the shorter map stands for adjacent bits of the longer one
+        b = np.packbits(np.bitwise_xor.reduce(np.unpackbits(b).reshape(8 * len(a), -1), axis=1))
+    return (size_x + size_y - int(np.bitwise_count(a ^ b).sum())) // 2
 
-def features(docs: DataFrame, n: int, percent: int, sketch) -> DataFrame:
-    """id, size, set digest (two longs), group digest (two longs), prefix as bytes in order."""
+
+def features(docs: DataFrame, n: int, percent: int, sketch, hot_above: int) -> DataFrame:
+    """id, size, set digest (two longs), group digest (two longs), bits, n_hot (so many shingles at the prefix's end are hot), prefix as bytes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in pieces(batches):
-            sizes, digests, groups, prefixes = [], [], [], []
+            sizes, digests, groups, bits, hot, prefixes = [], [], [], [], [], []
             for s in shingles(*utf8(batch.column("text")), n):
                 k = prefix_length(len(s), percent)
-                order = np.argsort(counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)], kind="stable")[:k]
+                count = counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+                order = np.argsort(count, kind="stable")[:k]
                 prefix = s[order].tobytes()
                 sizes.append(len(s))
                 digests.append(blake2b(s.tobytes(), digest_size=16).digest())
                 groups.append(blake2b(prefix, digest_size=16, key=str(len(s)).encode()).digest())
+                bits.append(bitmap(s) if len(s) else b"")
+                hot.append(int(np.count_nonzero(count[order] > hot_above)))
                 prefixes.append(prefix)
             a, b = (np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in (digests, groups))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(prefixes, pa.binary())], ["id", "size", "set_a", "set_b", "group_a", "group_b", "prefix"])
+            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(bits, pa.binary()), pa.array(hot, pa.int32()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "set_a", "set_b", "group_a", "group_b", "bits", "n_hot", "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, size long, set_a long, set_b long, group_a long, group_b long, prefix binary")
+    return docs.mapInArrow(run, f"id {kind}, size long, set_a long, set_b long, group_a long, group_b long, bits binary, n_hot int, prefix binary")
 
 
-def posting_rows(groups: DataFrame, percent: int) -> DataFrame:
-    """A row for each shingle of a group's prefix: token, gid, size, place, several (has the group several members?)."""
+def posting_rows(rows: DataFrame) -> DataFrame:
+    """rows: v, size, n_hot, prefix. A row for each shingle of a prefix: token, v, size, place, hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,27 +163,52 @@ def posting_rows(groups: DataFrame, percent: int) -> DataFrame:
                 lengths = np.array([len(p) // 8 for p in prefixes], np.int64)
                 ends = np.cumsum(lengths)
                 place = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(np.repeat(batch.column("gid").to_numpy(), lengths)), pa.array(np.repeat(batch.column("size").to_numpy(), lengths).astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(np.repeat(batch.column("n_members").to_numpy() > 1, lengths))],
-                    ["token", "gid", "size", "place", "several"],
-                )
+                hot = place >= np.repeat(lengths - batch.column("n_hot").to_numpy(), lengths)
+                columns = [np.frombuffer(b"".join(prefixes), np.int64), np.repeat(batch.column("v").to_numpy(), lengths), np.repeat(batch.column("size").to_numpy(), lengths).astype(np.int32), place.astype(np.int32), hot]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "v", "size", "place", "hot"])
+
+    return rows.select("v", "size", "n_hot", "prefix").mapInArrow(run, "token long, v long, size int, place int, hot boolean")
+
+
+def few(df: DataFrame) -> DataFrame:
+    """The table, to be broadcast if its narrow rows are few (counted)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    return groups.select("gid", "size", "n_members", "prefix").mapInArrow(run, "token long, gid long, size int, place int, several boolean")
 
+def wanted_of(pairs: DataFrame) -> DataFrame:
+    """v, left (does it stand on a pair's left?) for each vertex of the pairs."""
+    both = pairs.select(F.col("a").alias("v"), F.lit(1).alias("_l")).union(pairs.select(F.col("b").alias("v"), F.lit(0).alias("_l")))
+    return both.groupBy("v").agg((F.max("_l") == 1).alias("left"))
 
-def member_sets(docs: DataFrame, wanted: DataFrame, n: int, few: bool) -> DataFrame:
-    """Whole sets, as bytes of sorted hashes, of the documents wanted: id, shingles."""
-    rows = docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")
+
+def bounded(pairs: DataFrame, feats: DataFrame, percent: int, tables: Tables, name: str) -> DataFrame:
+    """The pairs (a, b) that their bitmaps allow to be linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.tobytes() for s in shingles(*utf8(batch.column("text")), n)], pa.binary())], ["id", "shingles"])
+        for batch in batches:
+            keep = []
+            for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True):
+                both = most_overlap(x, y, n, m)
+                keep.append(100 * both >= percent * (n + m - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    wanted = tables.write(wanted_of(pairs), f"{name}-wanted")
+    maps = tables.write(feats.select("v", "size", "bits").join(few(wanted), "v"), f"{name}-maps")
+    rows = pairs.join(maps.select(F.col("v").alias("b"), F.col("bits").alias("y"), F.col("size").alias("m")), "b")
+    rows = rows.join(maps.filter("left").select(F.col("v").alias("a"), F.col("bits").alias("x"), F.col("size").alias("n")), "a")
+    out = tables.write(rows.select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long"), f"{name}-bounded")
+    tables.drop(f"{name}-maps", f"{name}-wanted")
+    return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough."""
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, percent: int, tables: Tables, name: str) -> DataFrame:
+    """Those of the pairs whose whole sets are alike enough; sets are made from texts, by the digests that members have."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = [s.tobytes() for s in shingles(*utf8(batch.column("text")), n)]
+            digests = np.frombuffer(b"".join(blake2b(s, digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(sets, pa.binary())], ["set_a", "set_b", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,11 +220,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 at = np.searchsorted(y, x)
                 both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
-
-    rows = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    rows = rows.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    return rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    wanted = members.select(F.col("member").alias("v"), F.col("any_id").alias("_id"), "set_a", "set_b").join(few(wanted_of(pairs)), "v")
+    wanted = tables.write(wanted, f"{name}-wanted")
+    known = few(wanted)
+    ids = known.select("_id")
+    texts = docs.join(F.broadcast(ids) if known is not wanted else ids, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    # a row whose id is wanted but whose text is another has another digest, and goes here
+    sets = texts.mapInArrow(make, "set_a long, set_b long, shingles binary").join(known.drop("_id"), ["set_a", "set_b"]).select("v", "left", "shingles").dropDuplicates(["v"])
+    sets = tables.write(sets, f"{name}-sets")
+    rows = pairs.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("y")), "b")
+    rows = rows.join(sets.filter("left").select(F.col("v").alias("a"), F.col("shingles").alias("x")), "a")
+    out = tables.write(rows.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), f"{name}-links")
+    tables.drop(f"{name}-sets", f"{name}-wanted")
+    return out
 
 
 def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
@@ -181,146 +243,152 @@ def components(links: DataFrame, tables: Tables, name: str) -> DataFrame:
     Each round points every vertex at its least neighbour, follows pointers once, and contracts the links to roots; the number of links
     that join different roots falls by at least half a star's depth each time, so rounds are logarithmic in a class's diameter.
     """
-    edges = tables.write(links.select("a", "b").filter("a <> b").distinct(), f"{name}-0")
+    edges = tables.write(links.select("a", "b").filter("a <> b").distinct(), f"{name}/edges")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    label = tables.write(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")), f"{name}-label-0")
+    label = tables.write(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")), f"{name}/label-0")
     k = 0
     while True:
         k += 1
         roots = label.select(F.col("v").alias("root"), F.col("root").alias("up"))
         jumped = label.join(roots, "root", "left").select("v", F.least("root", F.coalesce("up", "root")).alias("root"))
-        jumped = tables.write(jumped, f"{name}-jump-{k}")
+        jumped = tables.write(jumped, f"{name}/jump-{k}")
         cross = edges.join(jumped.select(F.col("v").alias("a"), F.col("root").alias("x")), "a").join(jumped.select(F.col("v").alias("b"), F.col("root").alias("y")), "b").filter("x <> y").select("x", "y")
         hooks = cross.select(F.greatest("x", "y").alias("root"), F.least("x", "y").alias("low")).groupBy("root").agg(F.min("low").alias("low"))
-        hooks = tables.write(hooks, f"{name}-hook-{k}")
+        hooks = tables.write(hooks, f"{name}/hook-{k}")
         if hooks.isEmpty():
             again = jumped.join(jumped.select(F.col("v").alias("root"), F.col("root").alias("up")), "root", "left").filter("up <> root")
             if again.isEmpty():
                 return jumped
             label = jumped
             continue
-        label = tables.write(jumped.join(hooks, "root", "left").select("v", F.coalesce("low", "root").alias("root")), f"{name}-label-{k}")
+        label = tables.write(jumped.join(hooks, "root", "left").select("v", F.coalesce("low", "root").alias("root")), f"{name}/label-{k}")
+
+
+def by_token(cold: DataFrame, hot: DataFrame, **aggregates: Column) -> DataFrame:
+    """Rows with aggregates over each token's rows.
+
+    Rows of tokens that aren't hot are dealt once, by token. Those of hot ones are aggregated before they are dealt, and joined with the
+    aggregates, where Spark can split a token's rows.
+    """
+    cold = cold.withColumns({k: c.over(Window.partitionBy("token")) for k, c in aggregates.items()})
+    hot = hot.join(hot.groupBy("token").agg(*[c.alias(k) for k, c in aggregates.items()]), "token")
+    return cold.unionByName(hot.select(*cold.columns))
 
 
 def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
-    """docs: id, text. For each row: id, size, component (the least id reachable by links, itself included)."""
+    """docs: id, text. For each row: id, size, component (the least id reachable by links, itself included), member (the least id with the same set)."""
     spark: SparkSession = docs.sparkSession
     tables = Tables(spark, "ngram-join")
-    sketch = spark.sparkContext.broadcast(count_sketch(docs, n))
-    feats = tables.write(features(docs, n, percent, sketch), "features")
-    keyed = feats.filter("size > 0 AND id IS NOT NULL")
-
-    # identical sets are one member (its least id); members of equal prefix and size are one group, named by its least member
-    sets_ = ["group_a", "group_b", "size", "set_a", "set_b"]
-    members = tables.write(keyed.groupBy(*sets_).agg(F.min("id").alias("member")), "members")
-    grouped = members.groupBy("group_a", "group_b", "size").agg(F.min("member").alias("gid"), F.count("*").alias("n_members"))
-    grouped = tables.write(grouped, "groups")
-    first = grouped.select(F.col("gid").alias("id"), "n_members")
-    prefixes = feats.select("id", "size", "prefix").join(first, "id").dropDuplicates(["id"]).withColumnRenamed("id", "gid")
-
-    posts = posting_rows(prefixes, percent)
-    # the pivot of a shingle is its least group; a shingle of one member is of no use, one of a single group serves that group's members
-    over = Window.partitionBy("token")
-    pivoted = posts.withColumns({"_n": F.count("*").over(over), "_pivot": F.min("gid").over(over)}).filter("_n > 1 OR several")
-    posts = tables.write(pivoted.select("token", "gid", "size", "place", F.col("_pivot").alias("pivot"), (F.col("_n") == 1).alias("own")), "postings")
-
+    counts, n_docs = count_sketch(docs, n)
+    sketch = spark.sparkContext.broadcast(counts)
+    feats = tables.write(features(docs, n, percent, sketch, n_docs // 1000).withColumn("v", F.monotonically_increasing_id()), "features")
+
+    # identical sets are one member (its least row); members of equal prefix and size are one group, named by its least member
+    members = feats.filter("size > 0").groupBy("group_a", "group_b", "size", "set_a", "set_b").agg(F.min("v").alias("member"), F.min_by("id", "v").alias("any_id"), F.min("id").alias("least_id"), F.count("*").alias("copies"))
+    members = tables.write(members, "members")
+    grouped = tables.write(members.groupBy("group_a", "group_b", "size").agg(F.min("member").alias("gid"), F.count("*").alias("n_members")), "groups")
     # inside a group of several members, the least is the pivot
     inside = members.join(grouped.filter("n_members > 1").select("group_a", "group_b", "size", "gid"), ["group_a", "group_b", "size"])
     inside = tables.write(inside.select("gid", "member"), "inside")
-    size_of = grouped.select(F.col("gid").alias("pivot"), F.col("size").alias("p_size"))
-    fits = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
+    first = feats.select("v", "size", "n_hot", "prefix").join(grouped.select(F.col("gid").alias("v")), "v")
+    cold, hot = posting_rows(first).filter("NOT hot"), posting_rows(first.filter("n_hot > 0")).filter("hot")
+    # the pivot of a shingle is its least group; a shingle of one group is of no use here
+    pivoted = by_token(cold, hot, _n=F.count("*"), pivot=F.min("v")).filter("_n > 1")
+    posts = tables.write(pivoted.select("token", F.col("v").alias("gid"), "size", "place", "hot", "pivot"), "postings")
+
+    size_of = grouped.select(F.col("gid").alias("a"), F.col("size").alias("p_size"))
     pairs = posts.filter("gid <> pivot").groupBy(F.col("pivot").alias("a"), F.col("gid").alias("b"), "size").agg(F.count("*").alias("shared"))
-    pairs = pairs.join(size_of.withColumnRenamed("pivot", "a"), "a").filter(fits(F.col("size"), F.col("p_size")) & enough(F.col("size"), F.col("p_size"), F.col("shared"), percent)).select("a", "b")
+    pairs = pairs.join(size_of, "a").filter(_sizes_fit("size", "p_size", percent) & enough(F.col("size"), F.col("p_size"), F.col("shared"), percent)).select("a", "b")
     more = inside.filter("gid <> member").select(F.col("gid").alias("a"), F.col("member").alias("b"))
-    pairs = tables.write(pairs.union(more), "pairs-1")
-
-    expanded, tested, links, k, step = None, None, None, 0, 0
-    while True:
-        k += 1
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        wanted = tables.write(wanted, f"wanted-{k}")
-        n_wanted = wanted.count()
-        if n_wanted:
-            sets = tables.write(member_sets(docs.select(F.col("id").cast("long").alias("id"), "text"), wanted, n, n_wanted <= BROADCAST_ROWS), f"sets-{k}")
-            checked = tables.write(verified(pairs, sets, percent), f"checked-{k}")
-            tables.drop(f"sets-{k}")
-            tested = checked if tested is None else tested.union(checked)
-            links = tested.filter("linked").select("a", "b")
-        if links is None:
-            roots = spark.createDataFrame([], "v long, root long")
-        else:
-            roots = components(links, tables, f"classes-{k}")
-        if k > PIVOT_ROUNDS and not n_wanted:
-            break
-        if tested is None:
-            tested = spark.createDataFrame([], "a long, b long, linked boolean")
-        while True:  # the next round that has pairs
-            step += 1
-            if expanded is None:
-                # shingles of a single group matter only if its members aren't in one class by now
-                split = inside.join(roots.select(F.col("v").alias("member"), "root"), "member", "left").groupBy("gid").agg(F.min(F.coalesce("root", "member")).alias("_x"), F.max(F.coalesce("root", "member")).alias("_y"))
-                split = tables.write(split.filter("_x <> _y").select("gid"), "split")
-                wide = posts.filter("NOT own").unionByName(posts.filter("own").join(split, "gid", "left_semi").select(*posts.columns))
-                expanded = wide.select("token", "gid", "size", "place").join(inside, "gid", "left").select("token", F.coalesce("member", "gid").alias("m"), "size", "place")
-            expanded = tables.write(_open(expanded, roots), f"open-{step}")
-            pairs = tables.write(_open_pairs(expanded, tested, percent, k if k <= PIVOT_ROUNDS else 0), f"pairs-{step + 1}")
-            if k > PIVOT_ROUNDS or not pairs.isEmpty():
-                break
-            k = PIVOT_ROUNDS + 1
-        if pairs.isEmpty():
-            break
+    tested = pairs = tables.write(pairs.union(more), "pairs-1")
+    links, roots, rows = _linked(pairs, docs, feats, members, n, percent, tables, "round-1"), None, None
+    for k in (2, 3):  # one more pivot; then all pairs that are left
+        roots = components(links, tables, f"classes-{k}")
+        near = few(roots)
+        if rows is None:
+            # groups whose members aren't in one class by now: their members meet under all shingles of their prefix, in other groups or not
+            root = F.coalesce("root", "member")
+            split = inside.join(near.select(F.col("v").alias("member"), "root"), "member", "left").groupBy("gid").agg(F.min(root).alias("_x"), F.max(root).alias("_y")).filter("_x <> _y")
+            split = tables.write(inside.join(few(tables.write(split.select("gid"), "split")), "gid", "left_semi").select(F.col("member").alias("v")), "split-members")
+            own = posting_rows(feats.select("v", "size", "n_hot", "prefix").join(few(split), "v", "left_semi")).withColumnRenamed("v", "m")
+            wide = posts.select("token", "gid", "size", "place", "hot").join(inside, "gid", "left").select("token", F.coalesce("member", "gid").alias("m"), "size", "place", "hot")
+            rows = wide.join(few(split.withColumnRenamed("v", "m")), "m", "left_anti").unionByName(own)
+        rows = tables.write(_open(rows, near), f"open-{k}")
+        tables.drop("postings" if k == 2 else "open-2")
+        found = _pivot_pairs(rows, percent) if k == 2 else _all_pairs(rows, percent)
+        done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = tables.write(found.join(done, ["a", "b"], "left_anti"), f"pairs-{k}")
+        if not pairs.isEmpty():
+            links = tables.write(links.union(_linked(pairs, docs, feats, members, n, percent, tables, f"round-{k}")), f"links-{k}")
+            tested = tables.write(tested.union(pairs), f"tested-{k}") if k == 2 else tested
+    roots = components(links, tables, "classes-4")
+    tables.drop("open-3")
 
     # every document gets the class of its member
-    label = members.join(roots.select(F.col("v").alias("member"), "root"), "member", "left").select("set_a", "set_b", "member", F.coalesce("root", "member").alias("component"))
+    linked = roots.join(members.select(F.col("member").alias("v"), "least_id"), "v")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("component"))
+    named = roots.join(few(tables.write(least, "least")), "root").select(F.col("v").alias("member"), "component")
+    label = members.join(few(tables.write(named, "named")), "member", "left").select("set_a", "set_b", "copies", F.coalesce("component", "least_id").alias("component"), F.col("least_id").alias("member"))
+    label = tables.write(label, "labels")
+    narrow = tables.write(feats.select("id", "size", "set_a", "set_b"), "narrow")
+    tables.drop("features", "members", "groups", "inside", "classes-4")
     # a set with over a thousandth of all rows: fewer than 1000 of them
-    total = feats.count()
-    counts = keyed.groupBy("set_a", "set_b").agg(F.count("*").alias("copies"))
-    label = tables.write(label.join(counts, ["set_a", "set_b"]), "labels")
-    from .base import skew_left_join
+    out = skew_left_join(narrow, label, ["set_a", "set_b"], "copies", max(n_docs, 1))
+    alone = F.col("size") == 0
+    return out.select("id", "size", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"), F.when(alone, F.col("id")).otherwise(F.col("member")).alias("member"))
 
-    out = skew_left_join(feats.select("id", "size", "set_a", "set_b"), label, ["set_a", "set_b"], "copies", max(total, 1))
-    alone = (F.col("size") == 0) | F.col("id").isNull()
-    return out.select("id", "size", F.when(alone, F.col("id")).otherwise(F.coalesce("component", "id")).alias("component"), F.when(alone, F.col("id")).otherwise(F.coalesce("member", "id")).alias("member"))
 
+def _linked(pairs: DataFrame, docs: DataFrame, feats: DataFrame, members: DataFrame, n: int, percent: int, tables: Tables, name: str) -> DataFrame:
+    return verified(bounded(pairs, feats, percent, tables, name), docs, members, n, percent, tables, name)
 
-def _open(expanded: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows (token, m, size, place) of shingles whose members are in several classes, with class and the shingle's largest class."""
-    classed = expanded.select("token", "m", "size", "place").join(roots.select(F.col("v").alias("m"), "root"), "m", "left").withColumn("root", F.coalesce("root", "m"))
-    over = Window.partitionBy("token")
-    counted = classed.withColumn("_in", F.count("*").over(Window.partitionBy("token", "root")))
-    largest = F.max(F.struct("_in", "root")).over(over)
-    return counted.withColumns({"top": largest["root"], "_all": F.count("*").over(over)}).filter("_all > _in").drop("_all", "_in")
 
+def _sizes_fit(a: str, b: str, percent: int) -> Column:
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
-def _open_pairs(open_: DataFrame, tested: DataFrame, percent: int, pivots: int) -> DataFrame:
-    """Pairs not yet tested of members that share a shingle of their prefixes (a group shares all of its) but no class.
 
-    Under each shingle with several classes, members of all classes but the largest meet members of other classes. With
-    pivots > 0, each meets one member of the largest class only, another in each round; with 0, all that pass the tests of size
-    and place, so nothing is left untested. Bands of sizes in the join's key keep those that fail from meeting.
-    """
-    few = F.col("top") != F.col("root")
-    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    if pivots:
-        pivot = F.min(F.when(~few, F.struct(F.xxhash64(F.lit(pivots), "m").alias("h"), F.col("m").alias("m"), F.col("size").alias("s")))).over(Window.partitionBy("token"))
-        met = open_.withColumn("_p", pivot).filter(few & (F.least("size", F.col("_p.s")) * 100 >= percent * F.greatest("size", F.col("_p.s"))))
-        met = met.groupBy(F.least("m", F.col("_p.m")).alias("a"), F.greatest("m", F.col("_p.m")).alias("b")).agg(F.count("*").alias("shared"), F.max("size").alias("sa"), F.max("_p.s").alias("sb"))
-        return met.filter(enough(F.col("sa"), F.col("sb"), F.col("shared"), percent)).select("a", "b").join(done, ["a", "b"], "left_anti")
-    left = _partner_bands(open_.withColumn("few", few), percent)
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (token, m, size, place, hot) of shingles whose members are in several classes, with the class (root), the shingle's number of members (n),
+    its largest class (top), and a member of that (pivot, p_size)."""
+    classed = rows.select("token", "m", "size", "place", "hot").join(roots.select(F.col("v").alias("m"), F.col("root").alias("_root")), "m", "left").withColumn("root", F.coalesce("_root", "m")).drop("_root")
+    cold, hot = classed.filter("NOT hot"), classed.filter("hot")
+    over, within = Window.partitionBy("token"), Window.partitionBy("token", "root")
+    cold = cold.withColumns({"_x": F.min("root").over(over), "_y": F.max("root").over(over), "n": F.count("*").over(over)}).filter("_x <> _y").drop("_x", "_y")
+    cold = cold.withColumn("_in", F.count("*").over(within)).withColumn("top", F.max(F.struct("_in", "root")).over(over)["root"]).drop("_in")
+    tops = hot.groupBy("token", "root").agg(F.count("*").alias("_in")).groupBy("token").agg(F.max(F.struct("_in", "root"))["root"].alias("top"), F.sum("_in").alias("n"), F.count("*").alias("_classes"))
+    hot = hot.join(tops.filter("_classes > 1").drop("_classes"), "token")
+    chosen = F.min(F.when(F.col("root") == F.col("top"), F.struct(F.xxhash64("m").alias("h"), F.col("m").alias("m"), F.col("size").alias("s"))))
+    cold, hot = cold.withColumn("_p", chosen.over(over)), hot.join(hot.groupBy("token").agg(chosen.alias("_p")), "token")
+    found = cold.unionByName(hot.select(*cold.columns))
+    return found.withColumns({"pivot": F.col("_p.m"), "p_size": F.col("_p.s")}).drop("_p")
+
+
+def _pivot_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Of open rows: each member outside its shingle's largest class with the shingle's pivot, if sizes and shared shingles allow a link."""
+    met = rows.filter((F.col("root") != F.col("top")) & _sizes_fit("size", "p_size", percent))
+    met = met.groupBy(F.least("m", "pivot").alias("a"), F.greatest("m", "pivot").alias("b")).agg(F.count("*").alias("shared"), F.max("size").alias("sa"), F.max("p_size").alias("sb"))
+    return met.filter(enough(F.col("sa"), F.col("sb"), F.col("shared"), percent)).select("a", "b")
+
+
+def _all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Of open rows: all pairs of members that share a shingle but no class, if sizes, places and shared shingles allow a link."""
+    rows = rows.withColumn("few", F.col("top") != F.col("root"))
+    small = rows.filter(F.col("n") < MANY).withColumns({"own": F.lit(-1).cast("long"), "partner": F.lit(-1).cast("long")})
+    banded = _partner_bands(rows.filter(F.col("n") >= MANY), percent)
+    left = small.unionByName(banded.select(*[F.col(c).cast("long") if c in ("own", "partner") else F.col(c) for c in small.columns]))
     a = left.filter("few").select("token", F.col("own").alias("ka"), F.col("partner").alias("kb"), F.col("m").alias("ma"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("place").alias("pa"), "top")
     b = left.select("token", F.col("partner").alias("ka"), F.col("own").alias("kb"), F.col("m").alias("mb"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("place").alias("pb"))
     # two members outside the largest class meet once, from the lesser one
     once = (F.col("rb") == F.col("top")) | (F.col("ma") < F.col("mb"))
     needed = F.expr(_needed("sa", "sb", percent))
     # no shingle further on in either set can be the first that linked sets share
-    met = a.join(b, ["token", "ka", "kb"]).filter((F.col("ra") != F.col("rb")) & once & (F.col("sa") - F.col("pa") >= needed) & (F.col("sb") - F.col("pb") >= needed))
+    met = a.join(b, ["token", "ka", "kb"]).filter((F.col("ra") != F.col("rb")) & once & _sizes_fit("sa", "sb", percent) & (F.col("sa") - F.col("pa") >= needed) & (F.col("sb") - F.col("pb") >= needed))
     swap = F.col("ma") > F.col("mb")
     both = met.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"), *[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(n) for n, x, y in (("sa", "sa", "sb"), ("sb", "sb", "sa"), ("pa", "pa", "pb"), ("pb", "pb", "pa"))])
     both = both.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("sa").alias("sa"), F.max("sb").alias("sb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
     # all that both share up to the last shingle met has been counted; what is left of either must reach the overlap
     place_ok = F.col("shared") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")) - 1 >= needed
-    return both.filter(place_ok).select("a", "b").join(done, ["a", "b"], "left_anti")
+    return both.filter(place_ok).select("a", "b")
 
 
 def _needed(a: str, b: str, percent: int) -> str:
@@ -353,7 +421,3 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     found = classes(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), n, percent)
     return found.select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), F.col("member").alias("member_id"))
 
-
-def least_overlap(a: int, b: int, percent: int) -> int:
-    """Of sets of these sizes, for their Jaccard similarity to be percent / 100."""
-    return math.ceil(percent * (a + b) / (100 + percent))

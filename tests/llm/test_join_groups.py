@@ -38,7 +38,7 @@ def test_members_of_one_group_link(spark, monkeypatch, case):
     counts = np.full(1 << ngram_join.SKETCH_BITS, 99, np.uint32)
     for k in range(first):
         counts[int(shingles(" ".join(a[k : k + 5]))[0]) & ((1 << ngram_join.SKETCH_BITS) - 1)] = k
-    monkeypatch.setattr(ngram_join, "count_sketch", lambda docs, n: counts)
+    monkeypatch.setattr(ngram_join, "count_sketch", lambda docs, n: (counts, len(texts)))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()}
     sets = {i: set(shingles(t).tolist()) for i, t in texts.items()}
