@@ -12,7 +12,8 @@
    rejected.
 
 Defined cases: a null or empty text has no votes but abstentions and scores by the prior alone; it is kept, as nothing speaks
-against it. Repeated rows are scored alike. If all documents look alike to EM (no labeller ever votes), all are kept.
+against it. Repeated rows are scored alike; of rows that repeat an id with another text, one is in the sample. A row with a null id is scored, and counted
+in the estimation, but never in the sample. If all documents look alike to EM (no labeller ever votes), all are kept.
 An empty table gives an empty result; further columns are ignored. No label column is read.
 """
 
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .base import Tables, pieces, utf8, with_column_free, words
 
@@ -70,7 +72,7 @@ def votes(text: np.ndarray, hashes: np.ndarray) -> list[int]:
         vote(ascii_letters >= 20 and upper > 0.4 * ascii_letters, upper <= 0.15 * max(1, ascii_letters)),
         vote(many and single > 0.15 * w, single <= 0.02 * w),
         vote(many and same > 0.2 * w, many and same <= 0.02 * w),
-        vote(len(long_lines) >= 4 and len(set(long_lines)) < 0.5 * len(long_lines), ABSTAIN == 0),
+        vote(len(long_lines) >= 4 and len(set(long_lines)) < 0.5 * len(long_lines), False),
         vote(letters < 0.75 * body, letters >= 0.9 * body),
         vote(many and marks == 0, marks * 60 >= w),
         vote(many and distinct < 0.5, many and distinct > 0.8),
@@ -131,34 +133,38 @@ def em(patterns: list[str], counts: np.ndarray, rounds: int = 200) -> tuple[np.n
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4, rate: float = 8.0) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated full-batch descent; sides weigh the same."""
+    """Logistic regression by accelerated full-batch descent; sides weigh the same. x isn't copied."""
     weight = np.where(y > 0.5, 0.5 / max(1, (y > 0.5).sum()), 0.5 / max(1, (y <= 0.5).sum()))
     w = np.zeros(x.shape[1] + 1)
     z, t = w.copy(), 1.0
-    xb = np.hstack([x, np.ones((len(x), 1))])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(xb @ z)))
-        g = xb.T @ (weight * (p - y)) + ridge * np.r_[z[:-1], 0]
+        p = 1 / (1 + np.exp(-(x @ z[:-1].astype(x.dtype) + z[-1])))
+        off = weight * (p - y)
+        g = np.r_[off.astype(x.dtype) @ x + ridge * z[:-1], off.sum()]
         new = z - rate * g / 2
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / t2 * (new - w), new, t2
     return w[:-1], float(w[-1])
 
 
-def score_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5, sample: int = 2000) -> DataFrame:
-    """For each row: id, votes, posterior, score, keep."""
+def score_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5, sample: int = 2000, carry: bool = False) -> DataFrame:
+    """For each row: id, votes, posterior, score, keep; with `carry` also row, a struct of all columns of docs."""
     with_column_free(docs, id_column, text_column)
     spark = docs.sparkSession
     tables = Tables(spark, "quality")
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    voted = tables.write(_vote_rows(rows), "votes")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(0)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), whole.alias("row"))
+    voted = tables.write(_vote_rows(rows.select("id", "text")), "votes")
     counted = voted.groupBy("votes").count().orderBy("votes").collect()  # 3^8 rows at most
+    out = ["votes", "posterior", "score", *(["row"] if carry else [])]
     if not counted:
-        return voted.select(F.col("id").alias(id_column), "votes", F.lit(1.0).alias("posterior"), F.lit(1.0).alias("score"), F.lit(True).alias("keep"))
+        none = rows.withColumns({"votes": F.lit(""), "posterior": F.lit(1.0), "score": F.lit(1.0)})
+        return none.select(F.col("id").alias(id_column), *out, F.lit(True).alias("keep"))
     patterns = [r["votes"] for r in counted]
     post, _, share = em(patterns, np.array([r["count"] for r in counted], float))
     prior = dict(zip(patterns, post.tolist(), strict=True))
-    model = _train(rows, voted, prior, sample)
+    model = _train(rows.select("id", "text"), voted, prior, sample)
+    tables.drop("votes")
     packed = spark.sparkContext.broadcast((prior, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +185,10 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 names.append(name)
                 posts.append(p)
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(posts, pa.float64()), pa.array(scores, pa.float64())], ["id", "votes", "posterior", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(posts, pa.float64()), pa.array(scores, pa.float64()), batch.column("row")], ["id", "votes", "posterior", "score", "row"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"id {kind}, votes string, posterior double, score double")
-    return out.select(F.col("id").alias(id_column), "votes", "posterior", "score", (F.col("score") >= threshold).alias("keep"))
+    kinds = StructType([rows.schema["id"], StructField("votes", StringType()), StructField("posterior", DoubleType()), StructField("score", DoubleType()), rows.schema["row"]])
+    return rows.mapInArrow(run, kinds).select(F.col("id").alias(id_column), *out, (F.col("score") >= threshold).alias("keep"))
 
 
 def _train(rows: DataFrame, voted: DataFrame, prior: dict[str, float], sample: int) -> tuple[np.ndarray, float] | None:
@@ -195,21 +200,26 @@ def _train(rows: DataFrame, voted: DataFrame, prior: dict[str, float], sample: i
     for low, high in ((0.9, 1.01), (-1.0, 0.1)):
         side = known.filter((F.col("posterior") > low) & (F.col("posterior") < high)).filter("id IS NOT NULL")
         sides.append(side.orderBy(F.xxhash64("id"), "id").limit(sample))
-    chosen = sides[0].unionByName(sides[1]).select("id", "posterior").dropDuplicates(["id"])
+    chosen = sides[0].unionByName(sides[1]).select("id").distinct()  # 2 * sample rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             data, offsets = utf8(batch.column("text"))
-            vectors = [hashed(data[a:b]).astype(np.float16).tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("posterior"), pa.array(vectors, pa.binary())], ["id", "posterior", "x"])
+            h, _, first = words(data, offsets)
+            told, vectors = [], []
+            for a, b, x, y in zip(offsets.tolist(), offsets[1:].tolist(), first.tolist(), first[1:].tolist(), strict=False):
+                told.append(prior["".join(map(str, votes(data[a:b], h[x:y])))])
+                vectors.append(hashed(data[a:b]).astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(told, pa.float64()), pa.array(vectors, pa.binary())], ["id", "posterior", "x"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    found = rows.join(F.broadcast(chosen), "id").select("id", "text", "posterior").mapInArrow(run, f"id {kind}, posterior double, x binary")
-    found = found.orderBy("id", "x").limit(4 * sample)  # ids may repeat; two rows for each of the sample at most, and as many again
-    x, y = [], []
-    for r in found.toLocalIterator():
-        x.append(np.frombuffer(r["x"], np.float16))
+    found = rows.join(F.broadcast(chosen), "id").select("id", "text").mapInArrow(run, f"id {kind}, posterior double, x binary")
+    # one row for each id, should ids repeat
+    found = found.groupBy("id").agg(F.min(F.struct("posterior", "x")).alias("p")).select("id", "p.*")
+    x, y = np.zeros((2 * sample, DIMENSIONS), np.float32), []
+    for r in found.orderBy("id").toLocalIterator():
+        x[len(y)] = np.frombuffer(r["x"], np.float16)
         y.append(r["posterior"])
     if not y or min(y) > 0.5 or max(y) < 0.5:
         return None
-    return fit_linear(np.array(x, np.float32), np.array(y, np.float32))
+    return fit_linear(x[: len(y)], np.array(y, np.float32))
