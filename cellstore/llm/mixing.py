@@ -15,11 +15,15 @@ at most: half a word, or about 1 / 500 of the target (and a word, as edges are r
 r mod blocks, in epoch r / blocks; slots are `most` epochs at most, so no document is taken more than `most` times. Prefix sums are
 found within hash buckets of a source and carried over the buckets, so a source with a third of all rows is still dealt to many tasks.
 
-Slots are under 65,536 and 513 for each source; the schedule is broadcast up to 2^18 slots.
+Each row gets its place in the schedule: the slot (time in [0, 1)) at which a word of it is taken first, with that slot's rank, block and epoch.
+Reading rows by slot gives the mix in schedule order.
 
-Defined cases: null or empty text has size 0 and is never taken; a source of size 0 has target 0. Repeated rows are
-rows of their own, ordered by id. Without words all targets are 0. An empty table gives an empty result; further columns
-are ignored.
+Slots are under 65,536 and 513 for each source; the schedule is broadcast up to 2^18 slots. Sources are taken to be few: their sizes and
+targets are found in one task.
+
+Defined cases: null or empty text has size 0 and is never taken (slot, rank, block and epoch null); a source of size 0 has target 0. Repeated rows are
+rows of their own, ordered by id; a null id is an id like others, the last of all. Without words all targets are 0. An empty table gives an empty result;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 from .base import WORD, Tables, with_column_free
 
 WEIGHTS = (5, 2, 1)
-BUCKETS = 512
+#: Hash buckets of a source, at least, and rows of all sources that one of their buckets may have on average.
+BUCKETS, BUCKET_ROWS = 512, 500_000
 SLOT_BITS = 16
 #: Slots of the least target, if it has as many words.
 LEAST_SLOTS = 256
@@ -82,19 +87,24 @@ def schedule(aims: DataFrame, total: int) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 7, carry: tuple[str, ...] = ()) -> DataFrame:
-    """For each row: id, size, source_size, target, taken, and the columns named in carry."""
+    """For each row: id, size, source_size, target, taken, slot, rank, block, epoch; and the source if carry names it."""
     with_column_free(docs, id_column, text_column, source_column)
     tables = Tables(docs.sparkSession, "mixing")
     size = F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("source"), size.alias("size"))
-    rows = tables.write(rows.withColumn("_hash", F.xxhash64(F.lit(seed), "_id")).withColumn("_bucket", F.pmod("_hash", F.lit(BUCKETS))), "sizes")
+    rows = tables.write(rows.withColumn("_hash", F.xxhash64(F.lit(seed), "_id")), "sizes")
+    n_buckets = max(BUCKETS, -(-rows.count() // BUCKET_ROWS))
+    rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(n_buckets)))
+    place = ["slot", "rank", "block", "epoch"]
+    out = [F.col("_id").alias(id_column), "size", "source_size", "target", "taken", *place, *(["source"] if "source" in carry else [])]
 
     buckets = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     buckets = tables.write(buckets, "buckets")
     sizes = buckets.groupBy("source").agg(F.sum("_words").alias("source_size"))
     total, n_sources = sizes.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
     if not total:
-        return rows.select(F.col("_id").alias(id_column), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+        none = {"slot": F.lit(None).cast("double")} | {c: F.lit(None).cast("long") for c in place[1:]}
+        return rows.withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long"), **none}).select(*out)
     aims = tables.write(cut_blocks(targets(sizes, weights, most), total, most), "targets")
 
     so_far = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +113,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     offsets = offsets.withColumnRenamed("source", "_s").withColumnRenamed("_bucket", "_b")
     in_bucket = Window.partitionBy("source", "_bucket").orderBy("_hash", F.col("_id").asc_nulls_last(), "size")
     placed = rows.withColumn("_n", F.row_number().over(in_bucket)).withColumn("_to", F.sum("size").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)))
-    if n_sources * BUCKETS <= 1 << 18:
+    if n_sources * n_buckets <= 1 << 18:
         offsets = F.broadcast(offsets)
     placed = placed.join(offsets, placed["source"].eqNullSafe(offsets["_s"]) & (placed["_bucket"] == offsets["_b"])).drop("_s", "_b")
     placed = placed.withColumn("_end", F.col("_base") + F.col("_to")).withColumn("_start", F.col("_end") - F.col("size"))
@@ -113,9 +123,10 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     first, last = F.floor(F.col("_start") / F.col("source_size") * F.col("blocks")) - 1, F.floor((F.col("_end") - 1) / F.col("source_size") * F.col("blocks")) + 1
     cut = placed.withColumn("_block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.greatest(first, F.lit(0)), F.least(last, F.col("blocks") - 1)))))
     cut = cut.withColumn("_words", F.greatest(F.least("_end", edge("(_block + 1)")) - F.greatest("_start", edge("_block")), F.lit(0)))
-    used = schedule(aims, total).groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count("*").alias("_times"))
+    used = schedule(aims, total).groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count("*").alias("_times"), F.min(F.struct("at", "rank", "block", "epoch")).alias("_slot"))
     if (1 << SLOT_BITS) + (2 * LEAST_SLOTS + 1) * n_sources <= 1 << 18:
         used = F.broadcast(used)
     taken = cut.join(used, cut["source"].eqNullSafe(used["_s"]) & (cut["_block"] == used["_b"]), "left")
-    out = taken.groupBy("source", "_bucket", "_n", "_id", "size", "source_size", "target").agg(F.sum(F.coalesce(F.col("_words") * F.col("_times"), F.lit(0))).cast("long").alias("taken"))
-    return out.select(F.col("_id").alias(id_column), "size", "source_size", "target", "taken", *(["source"] if "source" in carry else []))
+    words = F.coalesce(F.col("_words") * F.col("_times"), F.lit(0))
+    summed = taken.groupBy("source", "_bucket", "_n", "_id", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"), F.min(F.when(words > 0, F.col("_slot"))).alias("_slot"))
+    return summed.withColumns({"slot": F.col("_slot.at"), **{c: F.col(f"_slot.{c}") for c in place[1:]}}).select(*out)
