@@ -208,7 +208,8 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sorted(r.doc_id for r in after) == sorted(i for i, root in linked_roots({r.doc_id: r.text for r in before}).items() if i == root)
 
     before, after = kept[3]
-    taken = {r.doc_id: (r.taken, r["size"]) for r in mixing.mix_sources(spark.createDataFrame(before, DOCS)).collect()}
+    keyed = corpus_pipeline._keyed(spark.createDataFrame(before, DOCS))
+    taken = {r[corpus_pipeline.KEY].i: (r.taken, r["size"]) for r in mixing.mix_sources(keyed, id_column=corpus_pipeline.KEY).collect()}
     times = Counter(r.doc_id for r in after)
     assert times == {i: max(1, math.floor(t / n + 0.5)) for i, (t, n) in taken.items() if t > 0}
     assert max(times.values()) <= 3
