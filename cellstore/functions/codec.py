@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ MASK = 0xFFFFFFFF
 
 def octets(c: str) -> str:
     """SQL: the bytes of a string or binary column as an array of bigint."""
-    return f"transform(filter(sequence(1, octet_length({c}) + 1), i -> i <= octet_length({c})), i -> cast(conv(hex(substring(cast({c} AS binary), i, 1)), 16, 10) AS bigint))"
+    return f"transform(filter(split(decode(cast({c} AS binary), 'ISO-8859-1'), ''), x -> x <> ''), x -> cast(ascii(x) AS bigint))"
 
 
 def poly31(c: str, seed: int = 0) -> Column:
@@ -21,14 +22,18 @@ def poly31(c: str, seed: int = 0) -> Column:
     return F.expr(f"aggregate({octets(c)}, {seed}L, (h, b) -> (h * 31 + b) % 4294967296L)")
 
 
-def signed32(c: Column) -> Column:
-    return F.when(c >= 1 << 31, c - (1 << 32)).otherwise(c)
+#: Fixed value: the seed of the second hash, however many probes there are.
+SECOND_SEED = 4
 
 
 def bloom_probes(c: str, bits: int, k: int) -> Column:
-    """Bits of a key: floorMod(h1 + i h2, bits) with 32-bit wraparound; h1 and h2 are polynomial hashes with seeds 0 and k."""
-    h1, h2 = poly31(c), poly31(c, k)
-    return F.array(*[F.pmod(signed32((h1 + h2 * i) % (1 << 32)), F.lit(bits).cast("long")) for i in range(k)])
+    """Bits of a key: floorMod(h1 + i h2, bits) with 32-bit wraparound; h1 and h2 are polynomial hashes with seeds 0 and 4.
+
+    One fold gives both: the second is the first plus 4 * 31^length.
+    """
+    fold = f"aggregate({octets(c)}, named_struct('h', 0L, 'p', {SECOND_SEED}L), (a, b) -> named_struct('h', (a.h * 31 + b) % 4294967296L, 'p', (a.p * 31) % 4294967296L))"
+    sums = f"transform(sequence(0L, {k - 1}L), i -> (z.h + i * ((z.h + z.p) % 4294967296L)) % 4294967296L)"
+    return F.expr(f"transform(array({fold}), z -> transform({sums}, x -> pmod(IF(x >= 2147483648L, x - 4294967296L, x), {bits}L)))[0]")
 
 
 def _mul32(a: str, k: int) -> str:
@@ -43,12 +48,10 @@ def _rotl(a: str, r: int) -> str:
 def murmur3_32(c: str) -> Column:
     """Standard 32-bit Murmur3 with seed 0, unsigned, over whole little-endian words and the tail."""
     b = octets(c)
-    word = "b[i] + b[i + 1] * 256 + b[i + 2] * 65536 + b[i + 3] * 16777216"
     mixed = lambda k: _mul32(_rotl(f"({_mul32(k, 0xCC9E2D51)})", 15), 0x1B873593)
     with_k = lambda h, k: f"({_mul32(_rotl(f'({h} ^ ({mixed(k)}))', 13), 5)} + 3864292196L) % 4294967296L"
     words = f"transform(filter(sequence(0, greatest(size(b) div 4 - 1, 0)), j -> j < size(b) div 4), j -> b[j * 4] + b[j * 4 + 1] * 256 + b[j * 4 + 2] * 65536 + b[j * 4 + 3] * 16777216)"
     tail = "aggregate(filter(sequence(0, 2), j -> (size(b) div 4) * 4 + j < size(b)), 0L, (t, j) -> t + b[(size(b) div 4) * 4 + j] * shiftleft(1L, 8 * j))"
-    del word
     body = f"aggregate({words}, 0L, (h, k) -> {with_k('h', 'k')})"
     last = f"(({body}) ^ ({mixed(f'({tail})')})) ^ cast(size(b) AS bigint)"
     step = lambda x, r: f"(({x}) ^ shiftright({x}, {r}))"
@@ -61,31 +64,45 @@ def murmur3_32(c: str) -> Column:
     return F.expr(f"transform(array({b}), b -> {final})[0]")
 
 
-def _fmix(k: int) -> int:
-    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        k = (k ^ k >> 33) * m & (1 << 64) - 1
-    return k ^ k >> 33
-
-
-def murmur3_128_low(data: bytes, seed: int = 0) -> int:
-    """Low 64 bits, unsigned, of the 128-bit x64 Murmur3."""
-    c1, c2, m = 0x87C37B91114253D5, 0x4CF5AD432745937F, (1 << 64) - 1
-    rot = lambda x, r: (x << r | x >> 64 - r) & m
-    h1 = h2 = seed
-    whole = len(data) // 16 * 16
-    for i in range(0, whole, 16):
-        k1, k2 = struct.unpack_from("<QQ", data, i)
-        h1 = (rot(h1 ^ rot(k1 * c1 & m, 31) * c2 & m, 27) + h2) * 5 + 0x52DCE729 & m
-        h2 = (rot(h2 ^ rot(k2 * c2 & m, 33) * c1 & m, 31) + h1) * 5 + 0x38495AB5 & m
-    tail = data[whole:]
-    k1, k2 = int.from_bytes(tail[:8], "little"), int.from_bytes(tail[8:], "little")
-    h2 ^= rot(k2 * c2 & m, 33) * c1 & m
-    h1 ^= rot(k1 * c1 & m, 31) * c2 & m
-    h1, h2 = h1 ^ len(data), h2 ^ len(data)
-    h1 = h1 + h2 & m
-    h2 = h2 + h1 & m
-    h1, h2 = _fmix(h1), _fmix(h2)
-    return h1 + h2 & m
+def _by_length(values: pd.Series, run: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
+    """Applies a function of an array (keys, bytes) to the values of each length; null stays null."""
+    out = np.zeros(len(values), np.int64)
+    real = np.flatnonzero(values.notna().to_numpy())
+    raw = [bytes(values.iloc[i]) for i in real]
+    sizes = np.array([len(x) for x in raw], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
+        data = np.frombuffer(b"".join(raw[i] for i in part), np.uint8).reshape(len(part), -1)
+        out[real[part]] = run(data).astype(np.int64)
+    return pd.Series(out, values.index).where(values.notna()).astype("Int64")
+
+
+# The constants of Murmur3 (x64, 128 bits) and of CRC-32C.
+_C1, _C2 = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F)
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_CASTAGNOLI = 0x82F63B78
+
+
+def _rot64(x: np.ndarray, r: int) -> np.ndarray:
+    return x << np.uint64(r) | x >> np.uint64(64 - r)
+
+
+def murmur3_128_low(data: np.ndarray) -> np.ndarray:
+    """Low 64 bits of the 128-bit Murmur3 with seed 0, of keys of one length: an array (keys, bytes)."""
+    n, size = data.shape
+    padded = np.zeros((n, (size // 16 + 1) * 16), np.uint8)
+    padded[:, :size] = data
+    halves = padded.view("<u8")
+    h1 = h2 = np.zeros(n, np.uint64)
+    for i in range(0, size // 16 * 2, 2):
+        h1 = (_rot64(h1 ^ _rot64(halves[:, i] * _C1, 31) * _C2, 27) + h2) * np.uint64(5) + np.uint64(0x52DCE729)
+        h2 = (_rot64(h2 ^ _rot64(halves[:, i + 1] * _C2, 33) * _C1, 31) + h1) * np.uint64(5) + np.uint64(0x38495AB5)
+    h1, h2 = h1 ^ _rot64(halves[:, -2] * _C1, 31) * _C2 ^ np.uint64(size), h2 ^ _rot64(halves[:, -1] * _C2, 33) * _C1 ^ np.uint64(size)
+    h1 = h1 + h2
+    h2 = h2 + h1
+    for m in (_M1, _M2):
+        h1, h2 = (h1 ^ h1 >> np.uint64(33)) * m, (h2 ^ h2 >> np.uint64(33)) * m
+    return (h1 ^ h1 >> np.uint64(33)) + (h2 ^ h2 >> np.uint64(33))
 
 
 def fingerprint63(c: Column) -> Column:
@@ -93,24 +110,31 @@ def fingerprint63(c: Column) -> Column:
 
     @F.pandas_udf("long")
     def run(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: murmur3_128_low(bytes(k)) & (1 << 63) - 1, na_action="ignore").astype("Int64")
+        return _by_length(keys, lambda x: murmur3_128_low(x) & np.uint64((1 << 63) - 1))
 
     return run(c.cast("binary"))
 
 
-_CRC32C = [0] * 256
-for _i in range(256):
-    _r = _i
+def _crc_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
     for _ in range(8):
-        _r = _r >> 1 ^ (0x82F63B78 if _r & 1 else 0)
-    _CRC32C[_i] = _r
+        out = np.where(out & 1, out >> 1 ^ np.uint32(_CASTAGNOLI), out >> 1)
+    return out
+
+
+_CRC32C = _crc_table()
+
+
+def crc32c_rows(data: np.ndarray) -> np.ndarray:
+    """Of values of one length: an array (values, bytes)."""
+    r = np.full(len(data), MASK, np.uint32)
+    for column in data.T:
+        r = r >> np.uint32(8) ^ _CRC32C[(r ^ column) & np.uint32(255)]
+    return r ^ np.uint32(MASK)
 
 
 def crc32c_bytes(data: bytes) -> int:
-    r = MASK
-    for b in data:
-        r = r >> 8 ^ _CRC32C[(r ^ b) & 255]
-    return r ^ MASK
+    return int(crc32c_rows(np.frombuffer(data, np.uint8).reshape(1, -1))[0])
 
 
 def crc32c(c: Column) -> Column:
@@ -118,16 +142,16 @@ def crc32c(c: Column) -> Column:
 
     @F.pandas_udf("long")
     def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: crc32c_bytes(bytes(v)), na_action="ignore").astype("Int64")
+        return _by_length(values, crc32c_rows)
 
     return run(c.cast("binary"))
 
 
 def varint_hex(n: str) -> str:
-    """SQL: unsigned LEB128 of a bigint below 2^35, as upper-case hex."""
+    """SQL: unsigned LEB128 of a bigint from 0 on, as upper-case hex; a negative one is an error."""
     byte = lambda i, more: f"lpad(hex((shiftright({n}, {7 * i}) & 127) | {128 if more else 0}), 2, '0')"
-    cases = " ".join(f"WHEN {n} < {1 << 7 * w}L THEN concat({', '.join(byte(i, i < w - 1) for i in range(w))})" for w in range(1, 5))
-    return f"CASE {cases} ELSE concat({', '.join(byte(i, i < 4) for i in range(5))}) END"
+    cases = " ".join(f"WHEN {n} < {1 << 7 * w}L THEN concat({', '.join(byte(i, i < w - 1) for i in range(w))})" for w in range(1, 9))
+    return f"CASE WHEN {n} < 0 THEN cast(raise_error('a negative number has no unsigned form') AS string) {cases} ELSE concat({', '.join(byte(i, i < 8) for i in range(9))}) END"
 
 
 def varint(n: str) -> Column:
@@ -151,13 +175,16 @@ def composite_key(row: str, family: str, qualifier: str, ts: str) -> Column:
 
 
 def split_composite(key: str) -> dict[str, Column]:
-    """Row, family, qualifier and time of a composite key whose lengths and family are below 128."""
-    at = lambda i: f"cast(conv(hex(substring({key}, {i}, 1)), 16, 10) AS int)"
-    r = at(1)
-    q = at(f"3 + {r}")
-    return {
-        "row_key": F.expr(f"cast(substring({key}, 2, {r}) AS string)"),
-        "family_id": F.expr(at(f"2 + {r}")),
-        "column_key": F.expr(f"cast(substring({key}, 4 + {r}, {q}) AS string)"),
-        "ts": F.expr(f"~cast(conv(hex(substring({key}, 4 + {r} + {q}, 8)), 16, -10) AS bigint)"),
-    }
+    """Row, family, qualifier and time of a composite key; one that is cut off or too long is an error."""
+    width = lambda at: "CASE " + " ".join(f"WHEN b[{at} + {i}] < 128 THEN {i + 1}" for i in range(4)) + " ELSE 5 END"
+    value = lambda at, w: f"aggregate(sequence(0, {w} - 1), 0L, (v, i) -> v + (b[{at} + i] & 127) * shiftleft(1L, 7 * i))"
+
+    def let(name: str, given: str, then: str) -> str:  # binds a name to what is used more than once
+        return f"transform(array({given}), {name} -> {then})[0]"
+
+    fields = f"named_struct('row', substring({key}, 1 + rw, cast(r AS int)), 'family', f, 'qualifier', substring({key}, cast(1 + rw + r + fw + qw AS int), cast(q AS int)), 'ts', ~cast(conv(hex(substring({key}, cast(1 + rw + r + fw + qw + q AS int), 8)), 16, -10) AS bigint))"
+    whole = f"IF(octet_length({key}) = rw + r + fw + qw + q + 8, {fields}, cast(raise_error('not a composite key') AS struct<row: binary, family: bigint, qualifier: binary, ts: bigint>))"
+    after_row, after_family = "cast(rw + r AS int)", "cast(rw + r AS int) + fw"
+    parsed = let("b", octets(key), let("rw", width("0"), let("r", value("0", "rw"), let("fw", width(after_row), let("f", value(after_row, "fw"), let("qw", width(after_family), let("q", value(after_family, "qw"), whole)))))))
+    parsed = f"IF(octet_length({key}) < 11, cast(raise_error('not a composite key') AS struct<row: binary, family: bigint, qualifier: binary, ts: bigint>), {parsed})"
+    return {"row_key": F.expr(f"cast(({parsed}).row AS string)"), "family_id": F.expr(f"cast(({parsed}).family AS int)"), "column_key": F.expr(f"cast(({parsed}).qualifier AS string)"), "ts": F.expr(f"({parsed}).ts")}

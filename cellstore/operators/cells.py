@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 CELL = ["row_key", "family_id", "column_key"]
 KEY = [*CELL, "ts"]
 ENTRY_TYPES = ("PUT", "DELETE", "MERGE")
@@ -94,10 +96,18 @@ def get_versions(cells: DataFrame) -> DataFrame:
 
 
 def multi_get_as_of(cells: DataFrame, asked: DataFrame) -> DataFrame:
-    """Extension: asked has cell keys and a time `at` for each; absent cells give no row. Each key may be asked at several times."""
-    met = asked.join(cells, CELL).filter(F.col("ts") <= F.col("at"))
-    newest = met.groupBy(*CELL, "at").agg(F.max(F.struct("ts", "seq", "entry_type", "value")).alias("_e"))
-    return newest.filter("_e.entry_type <> 'DELETE'").select(*CELL, "at", "_e.ts", "_e.value")
+    """Extension: asked has cell keys and a time `at` for each; absent cells give no row. Each key may be asked at several times.
+
+    Questions and versions of a cell are put in one order of time, and each question takes the version before it: V versions and Q
+    questions of a cell are V + Q rows, never V times Q.
+    """
+    entry = F.struct("ts", "entry_type", "value")
+    versions = cells.select(*CELL, F.col("ts").alias("_at"), F.lit(0).alias("_ask"), F.col("seq").alias("_seq"), entry.alias("_e"))
+    questions = asked.select(*CELL, F.col("at").alias("_at")).distinct()
+    questions = questions.select(*CELL, "_at", F.lit(1).alias("_ask"), F.lit(0).cast(cells.schema["seq"].dataType).alias("_seq"), F.lit(None).cast(versions.schema["_e"].dataType).alias("_e"))
+    order = Window.partitionBy(*CELL).orderBy("_at", "_ask", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    told = versions.unionByName(questions).withColumn("_e", F.last("_e", ignorenulls=True).over(order)).filter("_ask = 1")
+    return told.filter("_e.entry_type <> 'DELETE'").select(*CELL, F.col("_at").alias("at"), "_e.ts", "_e.value")
 
 
 def scan(cells: DataFrame) -> DataFrame:
@@ -113,9 +123,9 @@ def scan_positions(cells: DataFrame, partitions: int | None = None) -> DataFrame
 
 
 def _positions(ordered: DataFrame, spark, name: str) -> DataFrame:
-    """Of a sorted DataFrame. Its partitions are written out once by position in them, and offset by a small table of sizes."""
+    """Of a sorted DataFrame. Its rows are written to the shared folder with their place in their partition, and offset by a small table of sizes."""
     marked = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    marked = marked.persist()
+    marked = written(marked, "positions")
     sizes = marked.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return marked.join(F.broadcast(before), "_p").withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_p", "_i", "_before")

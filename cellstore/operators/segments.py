@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,34 @@ def assign_segments(ops: DataFrame, flush_keys: int = FLUSH_KEYS, memtable: list
     return _positions(ops.orderBy("seq"), ops.sparkSession, "_n").withColumn("segment", F.floor(F.col("_n") / per).cast("long")).drop("_n")
 
 
+def fold_flushes(ops: DataFrame, memtable: list[str], flush_keys: int = FLUSH_KEYS) -> DataFrame:
+    """The flush in which each operation leaves its memtable, with overwrites and deletions: exact for any operations.
+
+    A memtable counts distinct full keys; after a put (not a deletion) that makes them more than flush_keys, it is flushed. memtable names the
+    columns that tell memtables (tablets) apart; each is folded in order of arrival, and a cluster folds them side by side. An operation
+    whose key was last written in an earlier flush counts again. What is left at the end leaves with the last, partial flush.
+    """
+    order = Window.partitionBy(*memtable).orderBy("seq")
+    placed = ops.withColumn("_n", F.row_number().over(order).cast("long"))
+    placed = placed.withColumn("_last", F.coalesce(F.lag("_n").over(Window.partitionBy(*memtable, *KEY).orderBy("_n")), F.lit(0).cast("long")))
+    narrow = placed.select(*memtable, "_n", "_last", (F.col("entry_type") != "DELETE").alias("_put"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.select(*memtable).schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n")
+        last, put = table.column("_last").to_numpy(), table.column("_put").to_numpy(zero_copy_only=False)
+        out, flush, held, since = np.zeros(len(last), np.int64), 0, 0, 1
+        for i, (before, is_put) in enumerate(zip(last.tolist(), put.tolist(), strict=True)):
+            held += before < since
+            out[i] = flush
+            if is_put and held > flush_keys:
+                flush, held, since = flush + 1, 0, i + 2
+        return table.select([*memtable, "_n"]).append_column("segment", pa.array(out))
+
+    flushed = narrow.groupBy(*memtable).applyInArrow(run, f"{kinds}, _n long, segment long")
+    return placed.drop("_last").join(flushed, [*memtable, "_n"]).drop("_n")
+
+
 def segment_stats(segments: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Of each segment: entries (deletions count), keys, deletions, extremes of keys and times."""
     cell = F.struct(*CELL)
@@ -48,7 +78,7 @@ def unique_keys(cells: DataFrame) -> DataFrame:
 def with_blocks(segments: DataFrame, per_block: int = 64, restart: int = 16) -> DataFrame:
     """Entries in order with block, place in the block, and the prefix shared with the key before (none at a restart).
 
-    A block has a fixed number of entries here; keys are row + column. Windows run within a segment.
+    A block has a fixed number of entries here (`blocks.cut_blocks` cuts by size); keys are row + column. Windows run within a segment.
     """
     key = F.concat_ws("/", "row_key", "column_key")
     within = Window.partitionBy("segment").orderBy(*CELL, F.desc("ts"))
@@ -85,4 +115,4 @@ def metadata(cells: DataFrame, shards: int, sharder: str, config: bytes = b"") -
     return stats.withColumns({"shards": F.lit(shards).cast("long"), "sharder": F.lit(sharder), "config_hex": F.lit(config.hex()), "created_by": F.lit(CREATED_BY)})
 
 
-__all__ = ["KEY", "assign_segments", "block_index", "entries", "metadata", "segment_stats", "shared_prefix", "unique_keys", "with_blocks", "write"]
+__all__ = ["KEY", "assign_segments", "block_index", "entries", "fold_flushes", "metadata", "segment_stats", "shared_prefix", "unique_keys", "with_blocks", "write"]

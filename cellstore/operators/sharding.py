@@ -56,7 +56,9 @@ class RangeSharder:
             raise ValueError("a range config has 4 bytes at least")
         (n,), at, out = struct.unpack_from(">i", config), 4, []
         for _ in range(n):
-            (size,) = struct.unpack_from(">i", config, at)
+            size = struct.unpack_from(">i", config, at)[0] if at + 4 <= len(config) else -1
+            if size < 0 or at + 4 + size > len(config):
+                raise ValueError("a range config is cut off")
             out.append(config[at + 4 : at + 4 + size].decode())
             at += 4 + size
         return cls(out)

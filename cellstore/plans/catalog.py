@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
-from ..operators import bloom, cells, segments, sharding
+from ..operators import blocks, bloom, cells, segments, sharding
+from ..sources import legacy
+from ..sources.shared import shared_path
+from ..sources.store import Store
 
 AS_OF = 1_705_276_800_000_000  # 2024-01-15
 ORDERS_AT = 915_148_800_000_000  # 1999-01-01
@@ -74,19 +77,68 @@ def _merge_fold(s: SparkSession, sf: str) -> DataFrame:
 
 
 def _multi_get(s: SparkSession, sf: str) -> DataFrame:
-    asked = table(s, sf, "events").filter("event_id % 5 = 0").select(F.col("user_id").cast("string").alias("row_key"), F.lit(0).alias("family_id"), F.col("event_type").alias("column_key"), cells.micros("ts").alias("at")).distinct()
+    asked = table(s, sf, "events").select(F.col("user_id").cast("string").alias("row_key"), F.lit(0).alias("family_id"), F.col("event_type").alias("column_key"), cells.micros("ts").alias("at")).distinct()
     return cells.multi_get_as_of(event_cells(s, sf), asked).select("row_key", "column_key", "at", "ts", "value")
 
 
 def _format_roundtrip(s: SparkSession, sf: str) -> DataFrame:
-    """Writes a sharded segment with zstd and a native Bloom filter, and reads one key of it."""
-    import tempfile
-    import uuid
+    """Writes a sharded segment with zstd and a native Bloom filter, and reads it again."""
+    path = shared_path(s, "segment")
+    segments.write(event_cells(s, sf), path, 4, sharding.RangeSharder(BOUNDS).shard_of("row_key", 4))
+    return s.read.parquet(path).select("row_key", "column_key", "ts", "value", F.col("shard").cast("long").alias("shard"))
+
+
+def _flushed(s: SparkSession, sf: str) -> DataFrame:
+    """Overwrites and deletions among the operations; four tablets, memtables of 250 keys."""
+    ops = order_cells(s, sf).withColumn("tablet", F.col("row_key").cast("long") % 4)
+    ops = ops.withColumn("ts", F.col("ts") - F.col("ts") % (90 * 86_400_000_000))  # so that keys repeat
+    return segments.fold_flushes(ops, ["tablet"], 250)
+
+
+def _sized(s: SparkSession, sf: str) -> DataFrame:
+    flushed = segments.assign_segments(cells.last_write_wins(event_cells(s, sf)).filter("entry_type = 'PUT'"))
+    keyed = flushed.withColumns({"key": F.concat_ws("/", "row_key", "column_key", F.col("ts").cast("string")), "text": F.col("seq").cast("string")})
+    return blocks.encode_blocks(keyed, "key", "text", blocks.cell_order(), block_size=1024)
+
+
+def _block_roundtrip(s: SparkSession, sf: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    return blocks.decode_blocks(_sized(s, sf)).select("segment", text("key").alias("key"), text("value").alias("value"))
+
+
+def _legacy_roundtrip(s: SparkSession, sf: str) -> DataFrame:
+    """Operations as record files, read again."""
+    path = shared_path(s, "records").removeprefix("file:")
+    legacy.write(event_cells(s, sf), path)
+    read = legacy.read(s, path)
+    return read.select("row_key", "column_key", "ts", "entry_type", F.col("value").cast("string").cast("double").alias("value"))
+
+
+def _filled_store(s: SparkSession, sf: str) -> Store:
+    """Operations in three appends, with a flush after each but the last."""
+    store = Store(s, shared_path(s, "store"), sharding.RangeSharder(BOUNDS), 4)
+    ops = order_cells(s, sf).withColumn("value", F.col("value").cast("string"))
+    for k in range(3):
+        store.append(ops.filter(f"seq * 3 div (SELECT max(o_orderkey) + 1 FROM parquet.`{sf}/orders.parquet`) = {k}"))
+        if k < 2:
+            store.flush()
+    return store
+
+
+def _store_cells(s: SparkSession, sf: str) -> DataFrame:
+    return _filled_store(s, sf).cells().withColumn("value", F.col("value").cast("double"))
+
+
+def _store_manifest(s: SparkSession, sf: str) -> DataFrame:
+    return _filled_store(s, sf).manifest().select("number", "entries", "tombstones", "min_row", "max_row", "min_ts", "max_ts", "last_seq", "sharder", "shards")
+
 
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    path = f"{root}/segment-{uuid.uuid4().hex}"
+def _file_paths(s: SparkSession, sf: str) -> DataFrame:
+    """The file of each row is in the folder of the row's shard."""
+    path = shared_path(s, "segment")
     segments.write(event_cells(s, sf), path, 4, sharding.RangeSharder(BOUNDS).shard_of("row_key", 4))
-    return s.read.parquet(path).filter("row_key = '42'").select("row_key", "column_key", "ts", "value", F.col("shard").cast("long").alias("shard"))
+    rows = s.read.parquet(path).select("shard", F.regexp_extract(F.col("_metadata.file_path"), "/shard=([0-9]+)/[^/]*[.]parquet$", 1).cast("long").alias("folder"))
+    return rows.groupBy("folder").agg(F.count("*").alias("n"), F.min("shard").cast("long").alias("shard"))
 
 
 def _composite_roundtrip(s: SparkSession, sf: str) -> DataFrame:
@@ -137,6 +189,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "poly31_hash": lambda s, d: table(s, d, "pages").select("page_id", codec.poly31("url").alias("h0"), codec.poly31("url", 4).alias("h4")),
         "bloom_build": _bloom,
         "bloom_might_contain": _might_contain,
+        "bloom_bytes": lambda s, d: bloom.serialise(_bloom(s, d), ["segment"]).select("segment", F.octet_length("filter").cast("long").alias("size"), F.sha2("filter", 256).alias("sha256")),
+        "bloom_reload": lambda s, d: bloom.load(bloom.serialise(_bloom(s, d), ["segment"]), ["segment"]),
+        "flush_fold": lambda s, d: _flushed(s, d).select("tablet", "seq", "segment"),
+        "block_sizes": lambda s, d: _sized(s, d).select("segment", "block", F.col("first_key").cast("string").alias("first_key"), "entries", "estimate"),
+        "block_roundtrip": _block_roundtrip,
+        "legacy_roundtrip": _legacy_roundtrip,
+        "store_cells": _store_cells,
+        "store_manifest": _store_manifest,
+        "file_paths": _file_paths,
         "bloom_fpr": lambda s, d: bloom.fill(_bloom(s, d), ["segment"]),
         "compact_minor": lambda s, d: cells.compact_minor(o(s, d), 7),
         "compact_merge": _merged,
@@ -176,6 +237,72 @@ k AS (SELECT *, row_key || '/' || column_key AS key, row_number() OVER (PARTITIO
 l AS (SELECT k.*, n // 64 AS block, n % 64 AS place, lag(key) OVER (PARTITION BY segment ORDER BY n) AS prev FROM k),
 f AS (SELECT segment, block, place, key, ts, CASE WHEN place % 16 = 0 OR prev IS NULL THEN 0 ELSE
   list_min(list_filter(range(1, least(length(prev), length(key)) + 2), lambda i: i > least(length(prev), length(key)) OR substr(prev, i, 1) <> substr(key, i, 1))) - 1 END::bigint AS shared FROM l)"""
+_NUMBER = 4294967296
+_BIG = "18446744073709551616::uhugeint"
+
+
+def _rotl32(x: str, r: int) -> str:
+    return f"((({x}) * {1 << r}) % {_NUMBER} + ({x}) // {1 << 32 - r})"
+
+
+def _murmur32(codes: str) -> str:
+    """SQL of the 32-bit Murmur3 of a list of bytes; c holds the list."""
+    word = "c[4 * j + 1] + c[4 * j + 2] * 256 + c[4 * j + 3] * 65536 + c[4 * j + 4] * 16777216"
+    mixed = lambda k: f"({_rotl32(f'(({k})::hugeint * 3432918353 % {_NUMBER})', 15)} * 461845907 % {_NUMBER})"
+    step = f"(({_rotl32(f'xor(h, {mixed("k")})', 13)}) * 5 + 3864292196) % {_NUMBER}"
+    body = f"list_reduce(list_prepend(0::hugeint, list_transform(range(len(c) // 4), lambda j: ({word})::hugeint)), lambda h, k: {step})"
+    tail = "list_sum(list_transform(range(len(c) // 4 * 4, len(c)), lambda j: c[j + 1] * (CASE j % 4 WHEN 0 THEN 1 WHEN 1 THEN 256 ELSE 65536 END)))"
+    return f"SELECT *, xor(xor({body}, {mixed(f'coalesce({tail}, 0)')}), len(c)::hugeint) AS f0 FROM (SELECT *, {codes} AS c FROM pages)"
+
+
+def _final32() -> str:
+    step = lambda x, r: f"xor({x}, {x} // {1 << r})"
+    return f"m0 AS ({_murmur32(_CODES.replace('{c}', 'url'))}), m1 AS (SELECT *, {step('f0', 16)} * 2246822507 % {_NUMBER} AS f1 FROM m0), m2 AS (SELECT *, {step('f1', 13)} * 3266489909 % {_NUMBER} AS f2 FROM m1), m3 AS (SELECT *, {step('f2', 16)} AS hash FROM m2)"
+
+
+def _murmur128() -> str:
+    """SQL of both halves of the 128-bit Murmur3: t4 has h1 and h2 after the last mixing."""
+    mul = lambda a, k: f"(({a}) * {k}::uhugeint % {_BIG})"
+    rot = lambda x, r: f"((({x}) * {1 << r}::uhugeint) % {_BIG} + ({x}) // {1 << 64 - r}::uhugeint)"
+    c1, c2 = 0x87C37B91114253D5, 0x4CF5AD432745937F
+    half = lambda at: "(" + " + ".join(f"c[16 * j + {at + i}]::uhugeint * {1 << 8 * i}::uhugeint" for i in range(8)) + ")"
+    k1, k2 = lambda k: mul(rot(mul(k, c1), 31), c2), lambda k: mul(rot(mul(k, c2), 33), c1)
+    h1 = f"(({rot(f'xor(a.h1, {k1("b.k1")})', 27)} + a.h2) % {_BIG} * 5::uhugeint + {0x52DCE729}::uhugeint) % {_BIG}"
+    h2 = f"(({rot(f'xor(a.h2, {k2("b.k2")})', 31)} + ({h1})) % {_BIG} * 5::uhugeint + {0x38495AB5}::uhugeint) % {_BIG}"
+    none = "{'h1': 0::uhugeint, 'h2': 0::uhugeint, 'k1': 0::uhugeint, 'k2': 0::uhugeint}"
+    each = f"{{'h1': 0::uhugeint, 'h2': 0::uhugeint, 'k1': {half(1)}, 'k2': {half(9)}}}"
+    fold = f"list_reduce(list_prepend({none}, list_transform(range(len(c) // 16), lambda j: {each})), lambda a, b: {{'h1': {h1}, 'h2': {h2}, 'k1': 0::uhugeint, 'k2': 0::uhugeint}})"
+    tail = lambda lo, hi: f"coalesce(list_sum(list_transform(range({lo}, {hi}), lambda j: c[len(c) // 16 * 16 + {lo} + (j - {lo}) + 1]::hugeint * (1::hugeint << (8 * (j - {lo}))::int))), 0)::uhugeint"
+    n = "len(c) % 16"
+    t1, t2 = tail("0", f"least({n}, 8)"), tail("8", f"greatest({n}, 8)")
+    mixed = lambda x: f"xor({x}, ({x}) // {1 << 33}::uhugeint)"
+    f1, f2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+    return (
+        f"t0 AS (SELECT *, {_CODES.replace('{c}', 'url')} AS c FROM pages), t1 AS (SELECT *, {fold} AS s, {t1} AS x1, {t2} AS x2 FROM t0), "
+        f"t2 AS (SELECT *, xor(xor(s.h1, {k1('x1')}), len(c)::uhugeint) AS g1, xor(xor(s.h2, {k2('x2')}), len(c)::uhugeint) AS g2 FROM t1), "
+        f"t3 AS (SELECT *, (g1 + g2) % {_BIG} AS u1, (g1 + g2 + g2) % {_BIG} AS u2 FROM t2), "
+        f"t4 AS (SELECT *, {mul(mixed('u1'), f1)} AS v1, {mul(mixed('u2'), f1)} AS v2 FROM t3), t5 AS (SELECT *, {mul(mixed('v1'), f2)} AS w1, {mul(mixed('v2'), f2)} AS w2 FROM t4), "
+        f"t6 AS (SELECT *, ({mixed('w1')} + {mixed('w2')}) % {_BIG} AS low FROM t5)"
+    )
+
+
+_BYTE_STEP = "list_reduce(list_prepend(xor(r, b), range(8)), lambda x, i: xor(x // 2, CASE WHEN x % 2 = 1 THEN 2197175160 ELSE 0 END))"
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, " + _CODES.replace("{c}", "url") + "), lambda r, b: " + _BYTE_STEP + "), 4294967295)"
+_ASKED = f"""asked AS (SELECT DISTINCT segment, key FROM (SELECT page_id % 4 AS segment, url AS key FROM pages UNION ALL SELECT page_id % 4, url || '?absent' FROM pages)),
+g AS (SELECT segment, key, list_reduce(list_prepend(0::bigint, {_CODES.replace("{c}", "key")}), lambda h, b: (h * 31 + b) % 4294967296) AS h1, list_reduce(list_prepend(4::bigint, {_CODES.replace("{c}", "key")}), lambda h, b: (h * 31 + b) % 4294967296) AS h2 FROM asked),
+probes AS (SELECT segment, key, (h1 + i * h2) % 4294967296 % 1048576 AS bit FROM g, range(4) AS r(i))"""
+_FOLD = """q AS (SELECT o_custkey % 4 AS tablet, o_orderkey AS seq, o_custkey, o_orderpriority, epoch_us(o_orderdate) - epoch_us(o_orderdate) % 7776000000000 AS ts, o_orderstatus <> 'F' AS put, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) AS n FROM orders),
+p AS MATERIALIZED (SELECT *, coalesce(lag(n) OVER (PARTITION BY tablet, o_custkey, o_orderpriority, ts ORDER BY n), 0) AS last FROM q),
+f(tablet, n, seq, segment, held, since) AS (SELECT tablet, 0::bigint, -1::bigint, 0::bigint, 0::bigint, 1::bigint FROM (SELECT DISTINCT tablet FROM p)
+ UNION ALL SELECT tablet, n, seq, segment, CASE WHEN full_ THEN 0 ELSE held END, CASE WHEN full_ THEN n + 1 ELSE since END FROM (
+  SELECT p.tablet, p.n, p.seq, f.segment + (f.held = 0 AND f.since = p.n AND p.n > 1)::bigint AS segment, f.since, f.held + (p.last < f.since)::bigint AS held, p.put AND f.held + (p.last < f.since)::bigint > 250 AS full_ FROM f JOIN p ON p.tablet = f.tablet AND p.n = f.n + 1))"""
+_SIZED = """s AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 1001 AS segment FROM e WHERE entry_type = 'PUT'),
+k AS MATERIALIZED (SELECT segment, row_key || '/' || column_key || '/' || ts AS key, seq::varchar AS val, row_number() OVER (PARTITION BY segment ORDER BY row_key, column_key, ts DESC) AS n FROM s),
+l AS MATERIALIZED (SELECT a.*, list_min(list_filter(range(1, least(length(b.key), length(a.key)) + 2), lambda i: i > least(length(b.key), length(a.key)) OR substr(b.key, i, 1) <> substr(a.key, i, 1))) - 1 AS common FROM k AS a LEFT JOIN k AS b ON b.segment = a.segment AND b.n = a.n - 1),
+f(segment, n, block, place, size, first_key) AS (SELECT segment, 0::bigint, -1::bigint, 0::bigint, 999999::bigint, '' FROM (SELECT DISTINCT segment FROM l)
+ UNION ALL SELECT l.segment, l.n, f.block + (f.size >= 1024)::bigint, CASE WHEN f.size >= 1024 THEN 1 ELSE f.place + 1 END,
+  CASE WHEN f.size >= 1024 THEN 8 ELSE f.size END + 3 + length(l.val) + length(l.key) + CASE WHEN f.size >= 1024 OR f.place % 16 = 0 THEN 8 ELSE -l.common END,
+  CASE WHEN f.size >= 1024 THEN l.key ELSE f.first_key END FROM f JOIN l ON l.segment = f.segment AND l.n = f.n + 1)"""
 _SHARD = "len(list_filter(['2', '4', '7'], lambda b: b <= row_key))::bigint"
 
 
@@ -213,14 +340,36 @@ def oracle_sql() -> dict[str, str]:
         "composite_key_roundtrip": f"WITH {_E} SELECT row_key, family_id, column_key, ts FROM e",
         "poly31_hash": f"SELECT page_id, {_POLY.format(seed=0)} AS h0, {_POLY.format(seed=4)} AS h4 FROM pages",
         "bloom_build": f"WITH {_BITS} SELECT * FROM bits",
+        "bloom_bytes": lambda s, d: bloom.serialise(_bloom(s, d), ["segment"]).select("segment", F.octet_length("filter").cast("long").alias("size"), F.sha2("filter", 256).alias("sha256")),
+        "bloom_reload": lambda s, d: bloom.load(bloom.serialise(_bloom(s, d), ["segment"]), ["segment"]),
+        "flush_fold": lambda s, d: _flushed(s, d).select("tablet", "seq", "segment"),
+        "block_sizes": lambda s, d: _sized(s, d).select("segment", "block", F.col("first_key").cast("string").alias("first_key"), "entries", "estimate"),
+        "block_roundtrip": _block_roundtrip,
+        "legacy_roundtrip": _legacy_roundtrip,
+        "store_cells": _store_cells,
+        "store_manifest": _store_manifest,
+        "file_paths": _file_paths,
+        "shard_mod": f"WITH {_final32()} SELECT url AS row_key, ((hash % 2147483648) % 8)::bigint AS shard FROM m3",
+        "shard_fingerprint": f"WITH {_murmur128()} SELECT url AS row_key, ((low % 9223372036854775808::uhugeint) % 8)::bigint AS shard FROM t6",
+        "crc32c": f"SELECT page_id, {_CRC} AS crc FROM pages",
+        "bloom_might_contain": f"WITH {_BITS}, {_ASKED} SELECT segment, key, bool_and(EXISTS (SELECT 1 FROM bits WHERE bits.segment = probes.segment AND bits.bit = probes.bit)) AS maybe FROM probes GROUP BY segment, key",
+        "bloom_bytes": f"WITH {_BITS}, b AS (SELECT segment, bit // 8 AS n, sum(1 << (bit % 8)) AS x FROM bits GROUP BY 1, 2), g AS (SELECT segment, r.n FROM (SELECT DISTINCT segment FROM bits), range(131072) AS r(n)), hexed AS (SELECT g.segment, string_agg(lpad(to_hex(coalesce(b.x, 0)::bigint), 2, '0'), '' ORDER BY g.n) AS body FROM g LEFT JOIN b ON b.segment = g.segment AND b.n = g.n GROUP BY g.segment) SELECT segment, 131085::bigint AS size, sha256(unhex('0000BF1DBEAD0B11' || '04' || '00100000' || body)) AS sha256 FROM hexed",
+        "bloom_reload": f"WITH {_BITS} SELECT * FROM bits",
+        "flush_fold": f"WITH RECURSIVE {_FOLD} SELECT tablet, seq, segment FROM f WHERE n > 0",
+        "block_sizes": f"WITH RECURSIVE {_E}, {_SIZED} SELECT segment, block, min(first_key) AS first_key, count(*) AS entries, max(size) AS estimate FROM f WHERE n > 0 GROUP BY segment, block",
+        "block_roundtrip": f"WITH {_E}, s AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 1001 AS segment FROM e WHERE entry_type = 'PUT') SELECT segment, row_key || '/' || column_key || '/' || ts AS key, seq::varchar AS value FROM s",
+        "legacy_roundtrip": f"WITH {_E} SELECT row_key, column_key, ts, entry_type, value FROM e",
+        "store_cells": f"WITH {_O}, {_LWW} SELECT * FROM w",
+        "store_manifest": f"WITH {_O}, c AS (SELECT *, seq * 3 // (SELECT max(seq) + 1 FROM o) AS number FROM o), d AS (SELECT * FROM c AS a WHERE number < 2 AND NOT EXISTS (SELECT 1 FROM c AS b WHERE {_SAME} AND b.number = a.number AND b.ts = a.ts AND b.seq > a.seq)) SELECT number, count(*) AS entries, count(*) FILTER (entry_type = 'DELETE') AS tombstones, min(row_key) AS min_row, max(row_key) AS max_row, min(ts) AS min_ts, max(ts) AS max_ts, max(seq) AS last_seq, 'range:v1' AS sharder, 4::bigint AS shards FROM d GROUP BY number",
+        "file_paths": f"WITH {_E} SELECT {_SHARD} AS folder, count(*) AS n, {_SHARD} AS shard FROM e GROUP BY ALL",
         "bloom_fpr": f"WITH {_BITS} SELECT segment, count(*) AS bits_set, round(pow(count(*) / 1048576.0::double, 4.0::double), 12) AS rate FROM bits GROUP BY segment",
         "compact_minor": f"WITH {_O}, {_LWW} SELECT *, 7::bigint AS segment FROM w",
         "compact_merge": f"WITH {_O}, {_LWW} SELECT * FROM w",
         "compact_major": f"WITH {_O}, {_LWW}, {_MAJOR} SELECT row_key, column_key, ts, value, seq FROM m",
         "as_of_after_major": f"WITH {_O} {_newest('o', 'true')}",
-        "format_roundtrip": f"WITH {_E} SELECT row_key, column_key, ts, value, {_SHARD} AS shard FROM e WHERE row_key = '42'",
+        "format_roundtrip": f"WITH {_E} SELECT row_key, column_key, ts, value, {_SHARD} AS shard FROM e",
         "pivot_wide": f"WITH {_E}, n AS ({_newest('e', '{t}.ts <= ' + str(AS_OF))}) SELECT row_key, max(value) FILTER (column_key = 'click') AS click, max(value) FILTER (column_key = 'purchase') AS purchase FROM n GROUP BY row_key",
         "unpivot_cells": "SELECT p_partkey::varchar AS row_key, 'p_size' AS column_key, p_size::double AS value FROM part UNION ALL SELECT p_partkey::varchar, 'p_retailprice', p_retailprice FROM part",
-        "multi_get_as_of": f"WITH {_E}, q AS (SELECT DISTINCT row_key, column_key, ts AS t FROM e WHERE seq % 5 = 0) SELECT q.row_key, q.column_key, q.t AS \"at\", a.ts, a.value FROM q JOIN e AS a ON a.row_key = q.row_key AND a.column_key = q.column_key AND a.ts <= q.t WHERE a.entry_type <> 'DELETE' AND NOT EXISTS (SELECT 1 FROM e AS b WHERE {_SAME} AND b.ts <= q.t AND b.ts > a.ts)",
+        "multi_get_as_of": f"WITH {_E}, q AS (SELECT DISTINCT row_key, column_key, ts AS t FROM e) SELECT q.row_key, q.column_key, q.t AS \"at\", a.ts, a.value FROM q JOIN e AS a ON a.row_key = q.row_key AND a.column_key = q.column_key AND a.ts <= q.t WHERE a.entry_type <> 'DELETE' AND NOT EXISTS (SELECT 1 FROM e AS b WHERE {_SAME} AND b.ts <= q.t AND b.ts > a.ts)",
         "merge_fold": f"WITH {_E}, x AS (SELECT *, CASE WHEN entry_type = 'PUT' AND seq % 3 = 0 THEN 'MERGE' ELSE entry_type END AS kind FROM e), y AS (SELECT a.*, (SELECT max(ts) FROM x AS b WHERE {_SAME} AND b.kind <> 'MERGE') AS base FROM x AS a) SELECT row_key, column_key, max(ts) AS ts, round(sum(coalesce(value, 0)), 4) AS value, count(*) FILTER (kind = 'MERGE') AS n_merges FROM y WHERE base IS NULL OR ts >= base GROUP BY row_key, column_key",
     }

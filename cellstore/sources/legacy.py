@@ -1,16 +1,18 @@
 """The flat record format of logs and dumps: UTF row, UTF column, i64 time, bool deleted, then i32 length and bytes; big-endian.
 
-`read` takes whole files (Spark's binaryFile source, so any file system) and decodes on the executors; a file is one record stream, so
+`write` encodes each partition as one file, through Arrow's file systems (local, HDFS, S3 and such). `read` takes whole files (Spark's binaryFile source, so any file system) and decodes on the executors; a file is one record stream, so
 it is the unit of work.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def encode(records: list[tuple[str, str, int, bool, bytes | None]]) -> bytes:
@@ -71,3 +73,40 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "file string, row_key string, family_id int, column_key string, ts long, entry_type string, value binary, seq long")
+
+
+def write(cells: DataFrame, path: str, suffix: str = "sst") -> DataFrame:
+    """Puts and deletions as record files, in the order of the partitions' rows. Gives file, records and bytes, once the files are written.
+
+    Each file is written under a name of its own and moved in place when it is whole, so a task that is run again leaves no half file, but
+    one that succeeded before its executor was lost may leave its records twice: equal records of one key are one entry on reading.
+    """
+    bad = cells.filter("entry_type NOT IN ('PUT', 'DELETE') OR entry_type = 'PUT' AND value IS NULL OR row_key IS NULL OR column_key IS NULL OR ts IS NULL")
+    if not bad.isEmpty():
+        raise ValueError("the format holds puts with a value and deletions")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        parts, n = [], 0
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("row_key", "column_key", "ts", "deleted", "value"))
+            rows = list(zip(*columns, strict=True))
+            parts.append(encode(rows))
+            n += len(rows)
+        if not n:
+            return
+        store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+        name = f"{at.rstrip('/')}/part-{TaskContext.get().partitionId():05d}.{suffix}"
+        hidden = f"{at.rstrip('/')}/_{uuid.uuid4().hex}"
+        store.create_dir(at, recursive=True)
+        data = b"".join(parts)
+        with store.open_output_stream(hidden) as f:
+            f.write(data)
+        store.move(hidden, name)
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([len(data)], pa.int64())], ["file", "records", "bytes"])
+
+    rows = cells.select("row_key", "column_key", "ts", (F.col("entry_type") == "DELETE").alias("deleted"), F.col("value").cast("string").cast("binary").alias("value"))
+    files = rows.mapInArrow(run, "file string, records long, bytes long").collect()  # a row for each file
+    return cells.sparkSession.createDataFrame(files, "file string, records long, bytes long")
