@@ -6,6 +6,9 @@ lacing otherwise (Xiph lacing can be asked for). The reader takes any such file:
 length, unknown-size Segments and Clusters, SimpleBlocks and BlockGroups, the three lacings and none, and Cues. It gives one row for
 each packet with track, time stamp, cluster, byte range, key flag and lacing.
 
+Reading goes in steps: `packet_column` adds each file's packet table (and its cues) as a column, `packet_table` makes rows of it, and `read_back` takes the
+payload by the byte ranges of those packets. `seek` uses the cues: it parses the Cluster that a cue names, and those behind it, up to a time.
+
 A time stamp is in ticks of the file's scale (one millisecond here); packets after the first of a laced block go on by
 the track's default duration. A broken file raises ValueError, or, with strict=False, gives the packets up to the break.
 
@@ -187,72 +190,111 @@ def unlace(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
     return out
 
 
+class Layout:
+    """Where the parts of a file are, from the heads of its top elements: bodies of Clusters aren't read."""
+
+    def __init__(self, data: bytes, strict: bool = True):
+        self.data, self.scale, self.durations = data, 1_000_000, {}
+        self.clusters: list[tuple[int, int, int]] = []  # where the element starts, its body's start and end
+        self.cues: list[tuple[int, int, int]] = []  # time, track, byte of the cluster
+        try:
+            for ident, a, b in elements(data, 0, len(data)):
+                if ident == SEGMENT:
+                    self._segment(a, b)
+        except ValueError:
+            if strict:
+                raise
+
+    def _number(self, a: int, b: int) -> int:
+        return int.from_bytes(self.data[a:b], "big")
+
+    def _segment(self, a: int, b: int) -> None:
+        data, at = self.data, a
+        for top, c, d in elements(data, a, b):
+            if top == INFO:
+                self.scale = next((self._number(x, y) for i, x, y in elements(data, c, d) if i == SCALE), self.scale)
+            elif top == TRACKS:
+                for i, x, y in elements(data, c, d):
+                    if i == TRACK:
+                        own = {j: self._number(p, q) for j, p, q in elements(data, x, y) if j in (NUMBER, DEFAULT_DURATION)}
+                        self.durations[own.get(NUMBER, 0)] = own.get(DEFAULT_DURATION, 0)
+            elif top == CLUSTER:
+                self.clusters.append((at, c, d))
+            elif top == CUES:
+                for i, x, y in elements(data, c, d):
+                    if i == CUE_POINT:
+                        point = list(elements(data, x, y))
+                        when = next((self._number(p, q) for j, p, q in point if j == CUE_TIME), 0)
+                        for j, p, q in point:
+                            if j == CUE_POSITIONS:
+                                own = {k: self._number(r, s) for k, r, s in elements(data, p, q)}
+                                self.cues.append((when, own.get(CUE_TRACK, 0), a + own.get(CUE_CLUSTER, 0)))
+            at = d
+
+    def packets_of(self, cluster: int, packets: list[tuple], strict: bool = True) -> bool:
+        """Adds a Cluster's packets, as PACKET_FIELDS; false at a break, if that isn't an error."""
+        data, time = self.data, 0
+        _, c, d = self.clusters[cluster]
+
+        def block(a: int, b: int, simple: bool) -> None:
+            track, _, a = read_vint(data, a, b)
+            if a + 3 > b:
+                raise ValueError(f"a block is cut off at byte {a}")
+            relative, flags = struct.unpack_from(">hB", data, a)
+            kind = flags >> 1 & 3
+            for k, (start, size) in enumerate(unlace(data, a + 3, b, kind)):
+                packets.append((len(packets), track, time + relative + k * (self.durations.get(track, 0) // self.scale), cluster, start, size, bool(flags & 0x80) or not simple, LACINGS[kind]))
+
+        try:
+            for i, x, y in elements(data, c, d):
+                if i == TIME:
+                    time = self._number(x, y)
+                elif i == SIMPLE_BLOCK:
+                    block(x, y, True)
+                elif i == BLOCK_GROUP:
+                    for j, p, q in elements(data, x, y):
+                        if j == BLOCK:
+                            block(p, q, False)
+        except ValueError:
+            if strict:
+                raise
+            return False
+        return True
+
+
 def parse(data: bytes, strict: bool = True) -> tuple[list[tuple], list[tuple[int, int, int]]]:
     """(packets, cues) of a file; packets as PACKET_FIELDS, cues as (time, track, byte of the cluster)."""
-    packets: list[tuple] = []
-    cues: list[tuple[int, int, int]] = []
-    durations: dict[int, int] = {}
-    scale, n_clusters = 1_000_000, 0
-
-    def unsigned(a: int, b: int) -> int:
-        return int.from_bytes(data[a:b], "big")
-
-    def block(a: int, b: int, time: int, cluster: int, simple: bool) -> None:
-        track, _, a = read_vint(data, a, b)
-        if a + 3 > b:
-            raise ValueError(f"a block is cut off at byte {a}")
-        relative, flags = struct.unpack_from(">hB", data, a)
-        kind = flags >> 1 & 3
-        for k, (start, size) in enumerate(unlace(data, a + 3, b, kind)):
-            packets.append((len(packets), track, time + relative + k * (durations.get(track, 0) // scale), cluster, start, size, bool(flags & 0x80) or not simple, LACINGS[kind]))
-
-    try:
-        for ident, a, b in elements(data, 0, len(data)):
-            if ident != SEGMENT:
-                continue
-            for top, c, d in elements(data, a, b):
-                if top == INFO:
-                    scale = next((unsigned(x, y) for i, x, y in elements(data, c, d) if i == SCALE), scale)
-                elif top == TRACKS:
-                    for i, x, y in elements(data, c, d):
-                        if i == TRACK:
-                            own = {j: unsigned(p, q) for j, p, q in elements(data, x, y) if j in (NUMBER, DEFAULT_DURATION)}
-                            durations[own.get(NUMBER, 0)] = own.get(DEFAULT_DURATION, 0)
-                elif top == CLUSTER:
-                    time = 0
-                    for i, x, y in elements(data, c, d):
-                        if i == TIME:
-                            time = unsigned(x, y)
-                        elif i == SIMPLE_BLOCK:
-                            block(x, y, time, n_clusters, True)
-                        elif i == BLOCK_GROUP:
-                            for j, p, q in elements(data, x, y):
-                                if j == BLOCK:
-                                    block(p, q, time, n_clusters, False)
-                    n_clusters += 1
-                elif top == CUES:
-                    for i, x, y in elements(data, c, d):
-                        if i == CUE_POINT:
-                            point = list(elements(data, x, y))
-                            when = next((unsigned(p, q) for j, p, q in point if j == CUE_TIME), 0)
-                            for j, p, q in point:
-                                if j == CUE_POSITIONS:
-                                    own = {k: unsigned(r, s) for k, r, s in elements(data, p, q)}
-                                    cues.append((when, own.get(CUE_TRACK, 0), a + own.get(CUE_CLUSTER, 0)))
-    except ValueError:
-        if strict:
-            raise
-    return packets, cues
-
-
-def features(data: bytes, packets: list[tuple], cues: list[tuple[int, int, int]], payload: bytes) -> str:
-    """Of the file and its samples, in integers only: the same wherever it runs."""
+    layout, packets = Layout(data, strict), []
+    for k in range(len(layout.clusters)):
+        if not layout.packets_of(k, packets, strict):
+            break
+    return packets, layout.cues
+
+
+def seek(data: bytes, start: int, end: int) -> list[tuple]:
+    """The packets with start <= time stamp < end, numbered from the first Cluster that is read: the one that the last cue up to start names (the
+    first one without such a cue). Clusters from there on are parsed until one starts at the end or later; times don't go back from Cluster to Cluster."""
+    layout, packets = Layout(data), []
+    at = max((p for t, _, p in layout.cues if t <= start), default=-1)
+    first = next((k for k, c in enumerate(layout.clusters) if c[0] == at), 0)
+    for k in range(first, len(layout.clusters)):
+        before = len(packets)
+        layout.packets_of(k, packets)
+        if len(packets) > before and packets[before][2] >= end:
+            break
+    return [p for p in packets if start <= p[2] < end]
+
+
+def features(data: bytes, packets: list[tuple], n_cues: int, payload: bytes) -> str:
+    """Of the file and its samples, in integers only: the same wherever it runs. `sought` is the checksum of the packets of the second half, by `seek`."""
     samples = np.frombuffer(payload, np.uint8)
     n = len(samples)
     total = int(samples.sum(dtype=np.int64))
     crossings = int(np.count_nonzero((samples[1:] >= 128) != (samples[:-1] >= 128)))
     clusters = packets[-1][3] + 1 if packets else 0
-    return f"packets={len(packets)};clusters={clusters};cues={len(cues)};last_ts={packets[-1][2] if packets else 0};mean_milli={total * 1000 // max(1, n)};min={int(samples.min()) if n else 0};max={int(samples.max()) if n else 0};crossings={crossings}"
+    last = packets[-1][2] if packets else 0
+    sought = zlib.crc32(b"".join([data[p[4] : p[4] + p[5]] for p in seek(data, (last + 1) // 2, last + 1)])) if packets else 0
+    return f"packets={len(packets)};clusters={clusters};cues={n_cues};last_ts={last};mean_milli={total * 1000 // max(1, n)};min={int(samples.min()) if n else 0};max={int(samples.max()) if n else 0};crossings={crossings};sought={sought}"
 
 
 # operators
@@ -274,44 +316,55 @@ def store(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     return rows.mapInArrow(run, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_column)
 
 
-def packet_table(media: DataFrame, id_column: str = "doc_id", media_column: str = "media", strict: bool = True) -> DataFrame:
-    """A row for each packet: id and PACKET_FIELDS; start and size are bytes of the file."""
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+_NAMES = [f.split()[0] for f in PACKET_FIELDS.split(", ")]
+_PACKETS = f"packets array<struct<{', '.join(':'.join(f.split()) for f in PACKET_FIELDS.split(', '))}>>, n_cues int"
+
+
+def packet_column(media: DataFrame, id_column: str = "doc_id", media_column: str = "media", strict: bool = True) -> DataFrame:
+    """For each file: id, n_bytes if media has that column, media, packets (an array of PACKET_FIELDS), n_cues."""
     with_column_free(media, id_column, media_column)
+    kept = ["n_bytes"] if "n_bytes" in media.columns else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in PACKET_FIELDS.split(", ")]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-        for batch in batches:
-            for i in range(0, len(batch), 200):
-                part = batch.slice(i, 200)
-                found = [parse(x, strict)[0] if x is not None else [] for x in part.column("media").to_pylist()]
-                who = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in found]), pa.int64())
-                flat = list(zip(*[p for x in found for p in x], strict=True)) or [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(who), *[pa.array(v, t) for v, t in zip(flat, types, strict=True)]], ["id", *names])
+        for whole in batches:
+            for i in range(0, len(whole), 200):
+                batch = whole.slice(i, 200)
+                found = [parse(x, strict) if x is not None else ([], []) for x in batch.column("media").to_pylist()]
+                flat = list(zip(*[p for x, _ in found for p in x], strict=True)) or [[] for _ in _NAMES]
+                items = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(flat, _TYPES, strict=True)], _NAMES)
+                bounds = pa.array(np.cumsum([0, *[len(x) for x, _ in found]]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(bounds, items), pa.array([len(c) for _, c in found], pa.int32())], [*batch.schema.names, "packets", "n_cues"])
+
+    rows = media.select(F.col(id_column).alias("id"), *kept, F.col(media_column).alias("media"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, {_PACKETS}").withColumnRenamed("id", id_column)
+
 
-    kind = media.schema[id_column].dataType.simpleString()
-    rows = media.select(F.col(id_column).alias("id"), F.col(media_column).alias("media"))
-    return rows.mapInArrow(run, f"id {kind}, {PACKET_FIELDS}").withColumnRenamed("id", id_column)
+def packet_table(media: DataFrame, id_column: str = "doc_id", media_column: str = "media", strict: bool = True) -> DataFrame:
+    """A row for each packet: id and PACKET_FIELDS; start and size are bytes of the file."""
+    return packet_column(media, id_column, media_column, strict).select(F.col(id_column).alias("id"), F.explode("packets").alias("p")).select(F.col("id").alias(id_column), "p.*")
 
 
 def read_back(media: DataFrame, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """For each file: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature."""
+    """For each file: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; by its packet table."""
     with_column_free(media, id_column, media_column, "n_bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for batch in batches:
-            out = []
-            for x in batch.column("media"):
-                data = x.as_py() or b""
-                packets, cues = parse(data)
-                payload = b"".join([data[p[4] : p[4] + p[5]] for p in packets])
-                out.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), sha256(data).hexdigest(), features(data, packets, cues, payload)))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *[pa.array(v, k) for v, k in zip(columns, kinds, strict=True)]], ["id", "n_bytes", *names])
-
-    kind = media.schema[id_column].dataType.simpleString()
-    rows = media.select(F.col(id_column).alias("id"), "n_bytes", F.col(media_column).alias("media"))
+        for whole in batches:
+            for i in range(0, len(whole), 200):
+                batch, out = whole.slice(i, 200), []
+                for data, told, n_cues in zip(batch.column("media").to_pylist(), batch.column("packets"), batch.column("n_cues").to_pylist(), strict=True):
+                    data, items = data or b"", told.values
+                    packets = list(zip(*[items.field(k).to_pylist() for k in range(len(_NAMES))], strict=True))
+                    payload = b"".join([data[p[4] : p[4] + p[5]] for p in packets])
+                    out.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), sha256(data).hexdigest(), features(data, packets, n_cues, payload)))
+                columns = list(zip(*out, strict=True)) or [[]] * 6
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *[pa.array(v, k) for v, k in zip(columns, kinds, strict=True)]], ["id", "n_bytes", *names])
+
+    rows = packet_column(media, id_column, media_column).withColumnRenamed(id_column, "id")
+    kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
