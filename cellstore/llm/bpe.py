@@ -22,6 +22,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from hashlib import sha256
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -30,7 +31,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import SHORT, Spans, pieces, with_column_free
+from .base import SHORT, Spans, give_back, pieces, with_column_free
 
 CACHE_PIECES = 400_000
 LANE = 128
@@ -129,9 +130,8 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-        pairs = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        pairs.sort()
-        self.keys, self.values = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        pairs = np.fromiter((x for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks for x in (ranks[t[:i]] << 32 | ranks[t[i:]], r)), np.int64).reshape(-1, 2)
+        self.keys, self.values = pairs[np.argsort(pairs[:, 0])].T.copy()
         self.clear()
 
     def clear(self) -> None:
@@ -241,7 +241,8 @@ class Merger:
 _NEVER = 1 << 60
 #: Bytes; a longer piece is merged on its own and not kept.
 LONG = 200
-_LOADED: dict[str, tuple[Merger, list[bytes]]] = {}
+_LOADED: dict[str, Merger] = {}
+_BYTES: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -249,15 +250,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-def merger(path: str) -> tuple[Merger, list[bytes]]:
+def merger(path: str) -> Merger:
     """Read once by each worker."""
     if path not in _LOADED:
+        _LOADED[path] = Merger(load_ranks(path))
+        classes()
+        give_back()
+    return _LOADED[path]
+
+
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each id's bytes, 0 if there is no such id; all ids' bytes). Read once by each worker."""
+    if path not in _BYTES:
         ranks = load_ranks(path)
         back = [b""] * (max(ranks.values()) + 1)
         for data, i in ranks.items():
             back[i] = data
-        _LOADED[path] = Merger(ranks), back
-    return _LOADED[path]
+        _BYTES[path] = np.array([len(x) for x in back], np.int64), np.frombuffer(b"".join(back), np.uint8)
+    return _BYTES[path]
 
 
 def distinct_pieces(spans: Spans) -> tuple[np.ndarray, np.ndarray]:
@@ -320,18 +330,29 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
     with_column_free(docs, id_column, text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merge, _ = merger(path)
+        merge = merger(path)
         for batch in pieces(batches):
             ids, offsets, ends = encode_texts([x or "" for x in batch.column("text").to_pylist()], merge)
             bounds = pa.array(np.r_[0, ends].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (ids, offsets)]], ["id", "ids", "offsets"])
         merge.clear()  # a worker goes on to other stages
+        give_back()
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, ids array<int>, offsets array<int>").withColumnRenamed("id", id_column)
 
 
+def spell(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, np.ndarray]:
+    """(what the table has for the ids, end to end; where each id's part ends). An id that the table lacks raises."""
+    sizes, pool = table
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(sizes) or not sizes[ids].all()):
+        raise ValueError("an id has no bytes in this vocabulary")
+    ends = np.cumsum(sizes[ids])
+    start = np.repeat((np.cumsum(sizes) - sizes)[ids] - (ends - sizes[ids]), sizes[ids])
+    return pool[start + np.arange(len(start))].tobytes(), ends
+
+
 def decode(tokens: DataFrame, path: str, ids_column: str = "ids", to: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for; null for null ids."""
     with_column_free(tokens, ids_column)
@@ -339,20 +360,12 @@ def decode(tokens: DataFrame, path: str, ids_column: str = "ids", to: str = "dec
     place = names.index(ids_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, back = merger(path)
-        sizes = np.array([len(x) for x in back], np.int64)
-        pool = np.frombuffer(b"".join(back), np.uint8)
-        where = np.cumsum(sizes) - sizes
+        table = vocabulary(path)
         for whole in batches:
             for a in range(0, len(whole), 500):
                 batch = whole.slice(a, 500)
                 column = batch.column(place)
-                flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if len(flat) and (flat.min() < 0 or flat.max() >= len(back) or not sizes[flat].all()):
-                    raise ValueError("an id has no bytes in this vocabulary")
-                ends = np.cumsum(sizes[flat])
-                start = np.repeat(where[flat] - (ends - sizes[flat]), sizes[flat])
-                data = pool[start + np.arange(len(start))].tobytes()
+                data, ends = spell(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), table)
                 counts = np.array([len(x) if x is not None else 0 for x in column], np.int64)
                 bounds = np.r_[0, ends][np.cumsum(np.r_[0, counts])]
                 out = [data[x:y] if ok else None for x, y, ok in zip(bounds, bounds[1:], column.is_valid().to_pylist(), strict=False)]
@@ -363,7 +376,27 @@ def decode(tokens: DataFrame, path: str, ids_column: str = "ids", to: str = "dec
 
 
 def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Digests of ids and of decoded bytes: id, n_tokens, ids_sha256, decoded_sha256."""
-    tokens = encode(docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")), path, "_id", "_text")
-    told = tokens.select("_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"))
-    return decode(told, path).select(F.col("_id").alias(id_column), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Digests of ids and of decoded bytes: id, n_tokens, ids_sha256, decoded_sha256.
+
+    Encodes and decodes as `encode` and `decode` do, in one pass, so that ids needn't leave the worker.
+    """
+    with_column_free(docs, id_column, text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merge, table = merger(path), vocabulary(path)
+        known = [f"{i},".encode() for i in range(len(table[0]))]
+        digits = np.array([len(x) for x in known], np.int64), np.frombuffer(b"".join(known), np.uint8)
+        for batch in pieces(batches):
+            ids, _, ends = encode_texts([x or "" for x in batch.column("text").to_pylist()], merge)
+            ids, bounds, told = ids.astype(np.int64), np.r_[0, ends], []
+            for part, cut in ((digits, 1), (table, 0)):
+                data, at = spell(ids, part)
+                at = np.r_[0, at][bounds].tolist()
+                told.append([sha256(data[x : max(x, y - cut)]).hexdigest() for x, y in zip(at, at[1:], strict=False)])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(bounds), pa.int64()), *[pa.array(x, pa.string()) for x in told]], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        merge.clear()
+        give_back()
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_column)
