@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -110,6 +111,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    give_back()
+
+
+def give_back() -> None:
+    """A worker that has done a task and waits for the next keeps no freed memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)

@@ -152,25 +152,29 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     with_column_free(docs, id_column, text_column)
     spark = docs.sparkSession
     tables = Tables(spark, "quality")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(0)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), whole.alias("row"))
-    voted = tables.write(_vote_rows(rows.select("id", "text")), "votes")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    voted = tables.write(_vote_rows(rows), "votes")
     counted = voted.groupBy("votes").count().orderBy("votes").collect()  # 3^8 rows at most
     out = ["votes", "posterior", "score", *(["row"] if carry else [])]
     if not counted:
-        none = rows.withColumns({"votes": F.lit(""), "posterior": F.lit(1.0), "score": F.lit(1.0)})
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        none = docs.select(F.col(id_column).alias("id"), F.lit("").alias("votes"), F.lit(1.0).alias("posterior"), F.lit(1.0).alias("score"), whole.alias("row"))
         return none.select(F.col("id").alias(id_column), *out, F.lit(True).alias("keep"))
     patterns = [r["votes"] for r in counted]
     post, _, share = em(patterns, np.array([r["count"] for r in counted], float))
     prior = dict(zip(patterns, post.tolist(), strict=True))
-    model = _train(rows.select("id", "text"), voted, prior, sample)
+    model = _train(rows, voted, prior, sample)
     tables.drop("votes")
     packed = spark.sparkContext.broadcast((prior, model))
 
+    # with carry, rows are sent as they are, in columns by place, so that a text is sent once
+    sent = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]) if carry else rows.select(F.col("id").alias("c0"), F.col("text").alias("c1"))
+    at_id, at_text = (docs.columns.index(id_column), docs.columns.index(text_column)) if carry else (0, 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, fitted = packed.value
-        for batch in pieces(batches):
-            data, offsets = utf8(batch.column("text"))
+        for batch in pieces(batches, f"c{at_text}"):
+            data, offsets = utf8(batch.column(at_text))
             h, _, first = words(data, offsets)
             names, posts, scores = [], [], []
             for a, b, x, y in zip(offsets.tolist(), offsets[1:].tolist(), first.tolist(), first[1:].tolist(), strict=False):
@@ -185,10 +189,14 @@ def score_quality(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 names.append(name)
                 posts.append(p)
                 scores.append(score)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(names, pa.string()), pa.array(posts, pa.float64()), pa.array(scores, pa.float64()), batch.column("row")], ["id", "votes", "posterior", "score", "row"])
-
-    kinds = StructType([rows.schema["id"], StructField("votes", StringType()), StructField("posterior", DoubleType()), StructField("score", DoubleType()), rows.schema["row"]])
-    return rows.mapInArrow(run, kinds).select(F.col("id").alias(id_column), *out, (F.col("score") >= threshold).alias("keep"))
+            back = batch if carry else batch.select(["c0"])
+            yield pa.RecordBatch.from_arrays([*back.columns, pa.array(names, pa.string()), pa.array(posts, pa.float64()), pa.array(scores, pa.float64())], [*back.schema.names, "votes", "posterior", "score"])
+
+    kinds = StructType([*(sent.schema.fields if carry else sent.schema.fields[:1]), StructField("votes", StringType()), StructField("posterior", DoubleType()), StructField("score", DoubleType())])
+    scored = sent.mapInArrow(run, kinds)
+    if carry:
+        scored = scored.withColumn("row", F.struct(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    return scored.select(F.col(f"c{at_id}").alias(id_column), *out, (F.col("score") >= threshold).alias("keep"))
 
 
 def _train(rows: DataFrame, voted: DataFrame, prior: dict[str, float], sample: int) -> tuple[np.ndarray, float] | None:
