@@ -6,7 +6,8 @@ whole sequence if there are fewer words; nothing without words), as 64-bit hashe
 
 1. A sketch counts in how many documents shingles occur, in 2^20 counters whatever the corpus. Shingles are ordered by (count,
    hash): one total order for all documents, in which passages that many documents share come last. The order steers
-   cost only, never the result. Shingles whose counter stands for over a thousandth of all documents are marked as hot.
+   cost only, never the result. Rows are numbered so that those with the commonest prefixes come first: of near copies, what they were copied
+   from has the fewest shingles of its own, and makes the best pivot. Shingles whose counter stands for over a thousandth of all documents are marked as hot.
 2. Each document gives its size, a digest of its whole set, a bitmap of its set (three to six bits a shingle), and its prefix: the first
    size - ceil(percent% of size) + 1 shingles of its set. Linked documents share a shingle of their prefixes.
 3. Identical sets are collapsed into one member, and members with identical prefix and size into one group. Only groups meet.
@@ -127,12 +128,13 @@ def most_overlap(x: bytes, y: bytes, size_x: int, size_y: int) -> int:
 
 
 def features(docs: DataFrame, n: int, percent: int, sketch, hot_above: int) -> DataFrame:
-    """id, size, set digest (two longs), group digest (two longs), bits, n_hot (so many shingles at the prefix's end are hot), prefix as bytes in order."""
+    """id, size, set digest (two longs), group digest (two longs), bits, n_hot (so many shingles at the prefix's end are hot), rarity (0 to 63, by the mean
+    count of the prefix's shingles), prefix as bytes in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in pieces(batches):
-            sizes, digests, groups, bits, hot, prefixes = [], [], [], [], [], []
+            sizes, digests, groups, bits, hot, rarity, prefixes = [], [], [], [], [], [], []
             for s in shingles(*utf8(batch.column("text")), n):
                 k = prefix_length(len(s), percent)
                 count = counts[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
@@ -143,13 +145,14 @@ def features(docs: DataFrame, n: int, percent: int, sketch, hot_above: int) -> D
                 groups.append(blake2b(prefix, digest_size=16, key=str(len(s)).encode()).digest())
                 bits.append(bitmap(s) if len(s) else b"")
                 hot.append(int(np.count_nonzero(count[order] > hot_above)))
+                rarity.append(max(0, 63 - int(4 * np.log2(count[order].mean() + 1))) if k else 63)
                 prefixes.append(prefix)
             a, b = (np.frombuffer(b"".join(x), np.int64).reshape(-1, 2) for x in (digests, groups))
-            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(bits, pa.binary()), pa.array(hot, pa.int32()), pa.array(prefixes, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "set_a", "set_b", "group_a", "group_b", "bits", "n_hot", "prefix"])
+            columns = [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(b[:, 0]), pa.array(b[:, 1]), pa.array(bits, pa.binary()), pa.array(hot, pa.int32()), pa.array(rarity, pa.int64()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "size", "set_a", "set_b", "group_a", "group_b", "bits", "n_hot", "rarity", "prefix"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, size long, set_a long, set_b long, group_a long, group_b long, bits binary, n_hot int, prefix binary")
+    return docs.mapInArrow(run, f"id {kind}, size long, set_a long, set_b long, group_a long, group_b long, bits binary, n_hot int, rarity long, prefix binary")
 
 
 def posting_rows(rows: DataFrame) -> DataFrame:
@@ -281,7 +284,9 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     tables = Tables(spark, "ngram-join")
     counts, n_docs = count_sketch(docs, n)
     sketch = spark.sparkContext.broadcast(counts)
-    feats = tables.write(features(docs, n, percent, sketch, n_docs // 1000).withColumn("v", F.monotonically_increasing_id()), "features")
+    # a row's number: its rarity, then its place (of under 2^24 partitions)
+    numbered = F.shiftleft("rarity", 57).bitwiseOR(F.monotonically_increasing_id())
+    feats = tables.write(features(docs, n, percent, sketch, n_docs // 1000).withColumn("v", numbered).drop("rarity"), "features")
 
     # identical sets are one member (its least row); members of equal prefix and size are one group, named by its least member
     members = feats.filter("size > 0").groupBy("group_a", "group_b", "size", "set_a", "set_b").agg(F.min("v").alias("member"), F.min_by("id", "v").alias("any_id"), F.min("id").alias("least_id"), F.count("*").alias("copies"))
