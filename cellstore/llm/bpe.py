@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .base import SHORT, Spans, give_back, pieces, with_column_free
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 19
 LANE = 128
 #: Classes of code points.
 EDGE, LETTER, SINGLE, EL, VR, EE, DIGIT, SYMBOL, APOS, BLANK, SPACE = range(11)
@@ -49,11 +51,13 @@ def classes() -> np.ndarray:
     the members of a class.
     """
     table = np.full(0x110001, SYMBOL, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    every = ["".join(map(chr, points[i : i + 50_000])) for i in range(0, len(points), 50_000)]  # a slice at a time needs less memory
     single = {bytes([i]): i for i in range(256)}
     for kind, known in ((LETTER, r"\p{L}"), (DIGIT, r"\p{N}"), (SPACE, r"\s")):
-        found = tiktoken.Encoding("class", pat_str=known, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)
-        table[[ord(c) for c in bytes(found).decode()]] = kind
+        one = tiktoken.Encoding("class", pat_str=known, mergeable_ranks=single, special_tokens={})
+        for some in every:
+            table[[ord(c) for c in bytes(one.encode_ordinary(some)).decode()]] = kind
     for letters, kind in (("sdmt", SINGLE), ("l", EL), ("vr", VR), ("e", EE), ("'", APOS), (" ", BLANK)):
         for c in letters:
             table[ord(c)] = kind
@@ -331,7 +335,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merge = merger(path)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=SLICE):
             ids, offsets, ends = encode_texts([x or "" for x in batch.column("text").to_pylist()], merge)
             bounds = pa.array(np.r_[0, ends].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (ids, offsets)]], ["id", "ids", "offsets"])
@@ -386,7 +390,7 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
         merge, table = merger(path), vocabulary(path)
         known = [f"{i},".encode() for i in range(len(table[0]))]
         digits = np.array([len(x) for x in known], np.int64), np.frombuffer(b"".join(known), np.uint8)
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=SLICE):
             ids, _, ends = encode_texts([x or "" for x in batch.column("text").to_pylist()], merge)
             ids, bounds, told = ids.astype(np.int64), np.r_[0, ends], []
             for part, cut in ((digits, 1), (table, 0)):

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import BROADCAST_ROWS, Tables, mix, pieces, skew_left_join, utf8, with_column_free, words
+from .base import BROADCAST_ROWS, Tables, give_back, mix, pieces, skew_left_join, utf8, with_column_free, words
 
 SKETCH_BITS = 20
 SLICES = 64
@@ -169,6 +169,7 @@ def posting_rows(rows: DataFrame) -> DataFrame:
                 hot = place >= np.repeat(lengths - batch.column("n_hot").to_numpy(), lengths)
                 columns = [np.frombuffer(b"".join(prefixes), np.int64), np.repeat(batch.column("v").to_numpy(), lengths), np.repeat(batch.column("size").to_numpy(), lengths).astype(np.int32), place.astype(np.int32), hot]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "v", "size", "place", "hot"])
+        give_back()
 
     return rows.select("v", "size", "n_hot", "prefix").mapInArrow(run, "token long, v long, size int, place int, hot boolean")
 
@@ -194,6 +195,7 @@ def bounded(pairs: DataFrame, feats: DataFrame, percent: int, tables: Tables, na
                 both = most_overlap(x, y, n, m)
                 keep.append(100 * both >= percent * (n + m - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     wanted = tables.write(wanted_of(pairs), f"{name}-wanted")
     maps = tables.write(feats.select("v", "size", "bits").join(few(wanted), "v"), f"{name}-maps")
@@ -224,6 +226,7 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, perc
                 both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     wanted = members.select(F.col("member").alias("v"), F.col("any_id").alias("_id"), "set_a", "set_b").join(few(wanted_of(pairs)), "v")
     wanted = tables.write(wanted, f"{name}-wanted")

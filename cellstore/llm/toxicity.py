@@ -194,7 +194,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
                 out = [summary(distances(t, plain, toxic)) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
 
-        points = labelled.mapInArrow(measure, "x array<double>, toxic int").orderBy("toxic", "x").collect()
+        points = labelled.mapInArrow(measure, "x array<double>, toxic int").collect()
+        points.sort()
         x, y = np.array([p["x"] for p in points]), np.array([float(p["toxic"]) for p in points])
         model = fit_linear(x, y, rounds=2000, ridge=1e-4, rate=1.0)
     share = 0.5 if model else labelled.agg(F.coalesce(F.avg("toxic"), F.lit(0.5))).first()[0]
