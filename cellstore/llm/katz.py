@@ -34,6 +34,8 @@ from .toxicity import fold
 
 BLOCK_TOKENS = 1_500_000
 PART_TOKENS = 1_000_000
+#: Reduce tasks grow with the input up to here; beyond, a task takes several partitions or blocks, one after the other.
+MOST_TASKS = 20_000
 DISCOUNTED = 5
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 #: The number of what stands before a text; words of training text have greater numbers, other words 0.
@@ -224,12 +226,17 @@ def block_pairs(row: dict, names: np.ndarray, hot: np.ndarray, parts: int):
     return left, right, counts, asked[order], np.searchsorted(part[order], np.arange(parts + 1)), which, lengths
 
 
-def meet(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    """Each block with its answers, one block at a time."""
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+def dealt(rows: DataFrame, key: str, n: int):
+    """Rows grouped by a key of n values, in as many tasks: what a task reads doesn't grow with the input, whatever the session's setting."""
+    return rows.repartition(max(1, min(n, MOST_TASKS)), key).groupBy(key)
 
 
-def ask_pairs(blocks: DataFrame, answers: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
+def meet(blocks: DataFrame, answers: DataFrame, n: int, run, schema: str) -> DataFrame:
+    """Each of n blocks with its answers, one block at a time."""
+    return dealt(blocks, "block", n).cogroup(dealt(answers, "block", n)).applyInArrow(run, schema)
+
+
+def ask_pairs(blocks: DataFrame, answers: DataFrame, n: int, parts: int, hot: np.ndarray) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows:
@@ -245,7 +252,7 @@ def ask_pairs(blocks: DataFrame, answers: DataFrame, parts: int, hot: np.ndarray
                     out.append((p, row["block"], len(own), rest, heads, pack(np.r_[c, np.where(c > 0, known[b[own]], 0)].astype(np.uint64))))
         return pa.Table.from_batches([_rows(_ASK, out)])
 
-    return meet(blocks, answers, run, _ASK)
+    return meet(blocks, answers, n, run, _ASK)
 
 
 def answer_pairs(table: pa.Table, factor: np.ndarray, train_tokens: int) -> pa.Table:
@@ -309,9 +316,9 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.coalesce(fold(F.col(id_column), folds) != held_out, F.lit(False)).alias("train"))
     blocks = tables.write(make_blocks(rows), "blocks")
-    n_tokens = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    n_tokens, n_blocks = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
     parts = max(1, -(-n_tokens // PART_TOKENS))
-    word_table = tables.write(ask_words(blocks, parts).groupBy("part").applyInArrow(lambda t: answer_words(t, parts), _TABLE), "words")
+    word_table = tables.write(dealt(ask_words(blocks, parts), "part", parts).applyInArrow(lambda t: answer_words(t, parts), _TABLE), "words")
     sums = _sums(word_table)
     train_tokens, distinct = int(sums[0]), int(sums[1])
     factor = discounts(sums[2:])
@@ -320,7 +327,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         hot = _hot(word_table, train_tokens, parts)
     answers = word_table.filter("block >= 0").select("block", "part", "n", "counts", "keys")
     texts = blocks.select("block", "n_docs", "n_words", "n_tokens", "train", "lengths", "tokens")
-    pair_table = ask_pairs(texts, answers, parts, hot).groupBy("part").applyInArrow(lambda t: answer_pairs(t, factor, max(train_tokens, 1)), _TABLE)
+    pair_table = dealt(ask_pairs(texts, answers, n_blocks, parts, hot), "part", parts).applyInArrow(lambda t: answer_pairs(t, factor, max(train_tokens, 1)), _TABLE)
     pair_table = tables.write(pair_table, "pairs")
     pair_factor = discounts(_sums(pair_table)[2:])
     hot_stats = _hot_stats(pair_table, hot)
@@ -363,7 +370,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     # unigram mass that is given away to seen words: by counts of counts, so it needs no table
     low = sums[2 : 2 + DISCOUNTED] * np.arange(1, DISCOUNTED + 1)
     sums_mass = 1 - float((low * (1 - factor[1:])).sum()) / max(train_tokens, 1)
-    out = meet(blocks.drop("words", "counts"), both, run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = meet(blocks.drop("words", "counts"), both, n_blocks, run, f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     score = F.col("score") if train_tokens else F.lit(None).cast("double")
     held = F.coalesce(fold(F.col("id"), folds) == held_out, F.lit(True))
     return out.select(F.col("id").alias(id_column), held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", score.alias("score"))
