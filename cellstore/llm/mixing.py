@@ -130,3 +130,69 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     words = F.coalesce(F.col("_words") * F.col("_times"), F.lit(0))
     summed = taken.groupBy("source", "_bucket", "_n", "_id", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"), F.min(F.when(words > 0, F.col("_slot"))).alias("_slot"))
     return summed.withColumns({"slot": F.col("_slot.at"), **{c: F.col(f"_slot.{c}") for c in place[1:]}}).select(*out)
+
+
+#: Documents are shuffled by xxhash64 of the number 7 and the id: `seed` is the hash of 7, p1 to p5 are the hash's fixed primes.
+ORACLE = r"""
+WITH fixed AS (
+  SELECT 18446744073709551616::UHUGEINT AS m, 2786828215451145335::UHUGEINT AS seed, 11400714785074694791::UHUGEINT AS p1, 14029467366897019727::UHUGEINT AS p2,
+         1609587929392839161::UHUGEINT AS p3, 9650029242287828579::UHUGEINT AS p4, 2870177450012600261::UHUGEINT AS p5
+), sized AS (
+  SELECT row_number() OVER () AS row, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), h1 AS (
+  SELECT row, fixed.*, (CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616::HUGEINT ELSE doc_id::HUGEINT END)::UHUGEINT * p2 % m AS k FROM sized, fixed
+), h2 AS (
+  SELECT *, xor((seed + p5 + 8) % m, (k * 2147483648 % m + k // 8589934592) * p1 % m) AS h FROM h1
+), h3 AS (
+  SELECT *, ((h * 134217728 % m + h // 137438953472) * p1 % m + p4) % m AS i FROM h2
+), h4 AS (
+  SELECT *, xor(i, i // 8589934592) * p2 % m AS j FROM h3
+), h5 AS (
+  SELECT *, xor(j, j // 536870912) * p3 % m AS l FROM h4
+), hashed AS (
+  SELECT row, coalesce(xor(l, l // 4294967296), seed) AS u FROM h5
+), signed AS (
+  SELECT row, CASE WHEN u >= 9223372036854775808::UHUGEINT THEN u::HUGEINT - 18446744073709551616::HUGEINT ELSE u::HUGEINT END AS hash,
+         greatest(512, ceil((SELECT count(*) FROM documents) / 500000)::BIGINT) AS n FROM hashed
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [5, 2, 1][place % 3 + 1] AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS total FROM sources
+), bounds AS (  -- what is left for a unit of weight, if just the sources that reach their caps before this one are capped
+  SELECT (SELECT any_value(total) FROM weighed) - coalesce((SELECT sum(cap) FROM weighed y WHERE y.cap * x.weight < x.cap * y.weight), 0) AS rest,
+         (SELECT sum(weight) FROM weighed y WHERE y.cap * x.weight >= x.cap * y.weight) AS units
+  FROM weighed x
+), level AS (
+  SELECT arg_max(rest, rest / units) AS rest, arg_max(units, rest / units) AS units FROM bounds
+), aimed AS (
+  SELECT weighed.*, CASE WHEN total = 0 THEN 0 WHEN rest * weight > cap * units THEN cap::DOUBLE ELSE (weight * rest)::DOUBLE / units END AS target FROM weighed, level
+), blocked AS (
+  SELECT *, CASE WHEN target > 0 THEN least(52, greatest(16, ceil(log2(256::DOUBLE * total / target))::INT)) ELSE 16 END AS bits FROM aimed WHERE total > 0
+), slotted AS (
+  SELECT *, pow(2, bits)::BIGINT AS points, greatest(least(floor(source_size::DOUBLE / total::DOUBLE * pow(2, bits))::BIGINT, source_size), 1) AS blocks,
+         least(round(target / greatest(source_size, 1) * blocks)::BIGINT, 3 * blocks, points) AS slots,
+         coalesce(sum(target) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS upto FROM blocked
+), ranged AS (
+  SELECT *, greatest(least(round(upto / total * points)::BIGINT, points - slots), 0) AS start FROM slotted
+), dealt AS (
+  SELECT place, blocks, source_size, points, bits, unnest(range(start, start + slots)) AS point FROM ranged
+), timed AS (
+  SELECT *, reverse(lpad(bin(point), bits, '0'))::BIT::BIGINT::DOUBLE / points AS slot FROM dealt
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY place ORDER BY slot) - 1 AS rank FROM timed
+), used AS (
+  SELECT place, blocks, source_size, rank % blocks AS block, count(*) AS times, min(slot) AS slot, min(rank) AS rank FROM ranked GROUP BY ALL
+), cut AS (
+  SELECT *, block * (source_size // blocks) + (block * (source_size % blocks) + blocks - 1) // blocks AS lo,
+         (block + 1) * (source_size // blocks) + ((block + 1) * (source_size % blocks) + blocks - 1) // blocks AS hi FROM used
+), laid AS (
+  SELECT s.row, doc_id, s.size, a.place, a.source_size, a.target,
+         (sum(s.size) OVER (PARTITION BY a.place ORDER BY (g.hash % g.n + g.n) % g.n, g.hash, doc_id NULLS LAST, s.size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+  FROM sized s JOIN signed g ON g.row = s.row JOIN aimed a ON a.source IS NOT DISTINCT FROM s.source
+), met AS (
+  SELECT l.row, sum((least(c.hi, l.upto) - greatest(c.lo, l.upto - l.size)) * c.times)::BIGINT AS taken, min(c.slot) AS slot, arg_min(c.rank, c.slot) AS rank,
+         arg_min(c.block, c.slot) AS block, arg_min(c.rank // c.blocks, c.slot) AS epoch
+  FROM laid l JOIN cut c ON c.place = l.place AND c.lo < l.upto AND c.hi > l.upto - l.size WHERE l.size > 0 AND c.hi > c.lo GROUP BY l.row
+)
+SELECT doc_id, size, source_size, target::DOUBLE AS target, coalesce(taken, 0) AS taken, slot, rank, block, epoch FROM laid LEFT JOIN met ON met.row = laid.row
+"""

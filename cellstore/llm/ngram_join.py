@@ -429,3 +429,26 @@ def ngram_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     found = classes(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), n, percent)
     return found.select(F.col("id").alias(id_column), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), F.col("member").alias("member_id"))
 
+
+
+ORACLE = r"""
+WITH RECURSIVE told AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                      ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) END AS own FROM told
+), single AS (
+  SELECT doc_id, len(own) AS n, unnest(own) AS x FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM single a JOIN single b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(v, r) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.v, edges.b FROM reach JOIN edges ON edges.a = reach.r
+), classed AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY v
+)
+SELECT doc_id, len(own)::BIGINT AS n_shingles, component_id, CASE WHEN len(own) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY own) END AS member_id
+FROM sets JOIN classed ON v = doc_id
+"""
