@@ -6,8 +6,8 @@
    (two classes, each labeller with its own rates of either vote in either class; an abstention is no evidence) estimates accuracies from
    counts of all documents and gives each pattern its posterior.
 3. The posterior labels train a linear scorer on hashed byte pairs and triples of whole texts (2^12 counts, square root, unit
-   length), by logistic regression. It is fitted on a bounded sample: of each side, the `sample` documents with the least hash of id and
-   text; `sample` is the documented bound (2000). Everything else covers all documents.
+   length), by logistic regression. It is fitted on a bounded sample: of each side, the `sample` documents with the least hash of the
+   id; `sample` is the documented bound (2000). Everything else covers all documents.
 4. A document's score is the mean of the scorer's probability and the posterior of its pattern in log odds; below `threshold` it is
    rejected.
 
