@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 #: ASCII white space as the text contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -66,6 +67,12 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def n_words(c: Column) -> Column:
+    """Number of words; null counts as empty. A word and the space behind it become one letter, as `regexp_count` makes an array of all words."""
+    letters = F.regexp_replace(c, WORD + r"[\x20\x09-\x0D]*", "w")
+    return F.coalesce(F.length(F.ltrim(letters, F.lit(SPACES))), F.lit(0)).cast("long")
+
+
 def with_column_free(df: DataFrame, *names: str) -> None:
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")

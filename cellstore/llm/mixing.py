@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import WORD, Tables, with_column_free
+from .base import Tables, n_words, with_column_free
 
 WEIGHTS = (5, 2, 1)
 #: Hash buckets of a source, at least, and rows of all sources that one of their buckets may have on average.
@@ -90,8 +90,7 @@ def mix_sources(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """For each row: id, size, source_size, target, taken, slot, rank, block, epoch; and the source if carry names it."""
     with_column_free(docs, id_column, text_column, source_column)
     tables = Tables(docs.sparkSession, "mixing")
-    size = F.coalesce(F.regexp_count(F.col(text_column), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("source"), size.alias("size"))
+    rows = docs.select(F.col(id_column).alias("_id"), F.col(source_column).alias("source"), n_words(F.col(text_column)).alias("size"))
     rows = tables.write(rows.withColumn("_hash", F.xxhash64(F.lit(seed), "_id")), "sizes")
     n_buckets = max(BUCKETS, -(-rows.count() // BUCKET_ROWS))
     rows = rows.withColumn("_bucket", F.pmod("_hash", F.lit(n_buckets)))
