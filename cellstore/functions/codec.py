@@ -133,8 +133,28 @@ def crc32c_rows(data: np.ndarray) -> np.ndarray:
     return r ^ np.uint32(MASK)
 
 
+def _spans(n: int) -> np.ndarray:
+    """What a byte gives that n - 1, n - 2, ... 0 bytes follow, one after the other."""
+    out = np.empty((n, 256), np.uint32)
+    out[-1] = _CRC32C
+    for i in range(n - 2, -1, -1):
+        out[i] = out[i + 1] >> np.uint32(8) ^ _CRC32C[out[i + 1] & np.uint32(255)]
+    return out.ravel()
+
+
+_SPAN = 1024
+_SPANS, _PLACES = _spans(_SPAN), np.arange(_SPAN) * 256
+
+
 def crc32c_bytes(data: bytes) -> int:
-    return int(crc32c_rows(np.frombuffer(data, np.uint8).reshape(1, -1))[0])
+    """Of one value. A checksum is the sum (exclusive or) of what its bytes give by their places, so a span is one look-up."""
+    raw, r = np.frombuffer(data, np.uint8), MASK
+    for at in range(0, len(raw), _SPAN):
+        part = raw[at : at + _SPAN].copy()
+        n = len(part)
+        part[:4] ^= np.frombuffer(r.to_bytes(4, "little"), np.uint8)[:n]
+        r = int(np.bitwise_xor.reduce(_SPANS.take(part + _PLACES[_SPAN - n :]))) ^ r >> 8 * n
+    return r ^ MASK
 
 
 def crc32c(c: Column) -> Column:

@@ -21,6 +21,8 @@ from ..functions.codec import crc32c_bytes
 from .cells import CELL
 
 HEADER, LEVEL = struct.Struct(">iiBBH"), 3
+#: Decoded entries are handed on in batches of about so many rows or bytes, not block by block.
+TOLD_ROWS, TOLD_BYTES = 10_000, 1 << 22
 
 
 def put_varint(n: int) -> bytes:
@@ -46,7 +48,8 @@ def get_varint(data: bytes, at: int) -> tuple[int, int]:
 
 def shared_length(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
-    return next((i for i in range(n) if a[i] != b[i]), n)
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
 
 
 class Builder:
@@ -139,10 +142,23 @@ def decode_blocks(blocks: DataFrame, by: str = "segment") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in enumerate(batch.column("stored").to_pylist()):
-                found = list(decode(data))
-                own = pa.array([i] * len(found), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("by").take(own), batch.column("block").take(own), pa.array(range(len(found)), pa.int64()), pa.array([k for k, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], ["by", "block", "place", "key", "value"])
+            own, places, found, size = [], [], [], 0
+
+            def told() -> pa.RecordBatch:
+                rows = pa.array(own, pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column("by").take(rows), batch.column("block").take(rows), pa.array(places, pa.int64()), pa.array([k for k, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], ["by", "block", "place", "key", "value"])
+
+            for i, data in enumerate(batch.column("stored")):
+                before = len(found)
+                found.extend(decode(data.as_py()))
+                own.extend([i] * (len(found) - before))
+                places.extend(range(len(found) - before))
+                size += sum(len(k) + len(v) for k, v in found[before:])
+                if size >= TOLD_BYTES or len(found) >= TOLD_ROWS:
+                    yield told()
+                    own, places, found, size = [], [], [], 0
+            if found:
+                yield told()
 
     return rows.mapInArrow(run, f"by {kind}, block long, place long, key binary, value binary").withColumnRenamed("by", by)
 
